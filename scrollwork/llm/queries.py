@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollwork.llm import bpe, setjoin
+from scrollwork.llm import bpe, confusables, packing, setjoin
 from scrollwork.sources.tables import table
 
 #: What separates the values of hook_dna.
@@ -20,11 +20,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_records(_hooks(spark, d), 3, 5).toDF("analysis_id_a", "analysis_id_b")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "characters").select(F.lit("characters").alias("table_name"), "book", F.col("id").alias("row_key"), F.col("name").alias("text"))
+    a = table(spark, d, "analysis").select(F.lit("analysis").alias("table_name"), "book", F.col("analysis_id").cast("string").alias("row_key"), F.col("summary").alias("text"))
+    return c.unionByName(a)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.normalized(_texts(spark, d), "text").where("posing").select("table_name", "book", "row_key").distinct()
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The affected records with the consistent form of each of their texts."""
+    return confusables.normalized(_texts(spark, d), "text").where("posing").select("table_name", "book", "row_key", "form").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids}
+def p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packs(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_packs": p8_packs}
 
 ORACLE = {
     "p1_found": r"""
