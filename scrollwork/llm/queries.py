@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollwork.llm import bpe, confusables, packing, setjoin
+from scrollwork.llm import bpe, confusables, mojibake, packing, setjoin
 from scrollwork.sources.tables import table
 
 #: What separates the values of hook_dna.
@@ -43,7 +43,16 @@ def p8_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.packs(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_packs": p8_packs}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"), restore=False)
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents with what could be undone replaced."""
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLE = {
     "p1_found": r"""
