@@ -113,6 +113,10 @@ def _units(s: str) -> str:
     return s.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
+def _char_class(chars: set[str]) -> str:
+    return f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
+
+
 class Detector:
     """The automaton over garbled sequences, with the corpus's counts (gram -> n)."""
 
@@ -185,11 +189,13 @@ class Detector:
                 if x[0] not in best or best[x[0]][1] < x[1]:
                     best[x[0]] = x
             self.auto.add_word(_units(seq), (len(seq), tuple(best.values())))
-        alphabet = "".join(sorted({c for seq in found for c in seq}))
-        self.runs = re.compile(f"[{re.escape(alphabet)}]+").finditer if found else None
+        starts, rest, alone = (_char_class(x) for x in ({q[0] for q in found if len(q) > 1}, {c for q in found for c in q[1:]}, {q for q in found if len(q) == 1}))
+        self.runs = re.compile(f"(?:{starts}{rest}+|{alone})+").finditer
         if found:
             self.auto.make_automaton()
         self.empty = not found
+        self.verdicts: dict[tuple[str, str, str], tuple[str, bool] | None] = {}
+        self.words: set[str] = set()
         self._between()
 
     def _p(self, c: str) -> float:
@@ -353,35 +359,37 @@ class Detector:
         """A sign within a Latin word that is rare between its neighbours, while a letter it may stand for is common there."""
         for m in self._START_SIGN.finditer(text):
             yield Span(m.start(), m.end(), None, "sign")
-        get = self.grams.get
-        strong = False
-        weak: list[Span] = []
         many = text.count(" ") * 20 > len(text)
-        for m in (_MANY if many else _FEW).finditer(text):
-            x = m[2]
-            if x not in self.behind or x in "’…":
-                continue
-            a, z, at = m[1], m[3], m.end() - 1
-            ka, kz = a, z if z.isascii() and z.isalpha() else "_"
-            here = get(ka + x + kz, 0)
-            odd = not x.isalpha() or (x.isupper() and a.islower() and a.isascii()) or (ord(x) > 0x17F and x not in "\ufb01\ufb02")
+        find = _MANY if many else _FEW
+        verdict = self.verdicts
+        if not any([verdict.get(g) or (g not in verdict and self._judge(g)) for g in find.findall(text)]):
+            return
+        found = [(m.end() - 1, *verdict[m.groups()]) for m in find.finditer(text) if verdict[m.groups()]]
+        if any(sure for _, _, sure in found):
+            for at, best, _ in found:
+                yield Span(at, at + 1, best, "sign")
+
+    def _judge(self, g: tuple[str, str, str]) -> tuple[str, bool] | None:
+        """(the letter that the sign g[1] stands for, whether that is sure by itself) or None; remembered."""
+        out = None
+        a, x, z = g
+        if x in self.behind and x not in "’…":
+            get = self.grams.get
+            kz = z if z.isascii() and z.isalpha() else "_"
+            here = get(a + x + kz, 0)
+            odd = not x.isalpha() or (x.isupper() and a.islower()) or (ord(x) > 0x17F and x not in "\ufb01\ufb02")
             best, n = None, 0
-            for c in self.behind[x]:
-                k = get(ka + c + kz, 0)
+            for c in sorted(self.behind[x]):
+                k = get(a + c + kz, 0)
                 if k > n:
                     best, n = c, k
-            if best is None:
-                continue
-            if not x.isalpha() and not (ka != "_" and (kz != "_" or _LETTER.match(z))) and x in _NATURAL | frozenset("“”„«»–—‘‚‹›"):
-                continue
-            if n >= 6 and n >= (4 if odd else 40) * (here + 0.25) or (odd and x.isalpha() and ord(x) >= 0x370 and a.isascii() and a.isalpha() and a.islower() and z.isascii() and z.islower()):
-                if (best == "’" and x.isalpha() and not odd) or (x in "\ufb01\ufb02" and ka == "_"):
-                    weak.append(Span(at, at + 1, best, "sign"))
-                else:
-                    strong = True
-                    yield Span(at, at + 1, best, "sign")
-        if strong:
-            yield from weak
+            plain = not x.isalpha() and not (kz != "_" or _LETTER.match(z)) and x in _NATURAL | frozenset("“”„«»–—‘‚‹›")
+            if best is not None and not plain:
+                other = odd and x.isalpha() and ord(x) >= 0x370 and a.islower() and z.isascii() and z.islower()
+                if other or (n >= 6 and n >= (4 if odd else 40) * (here + 0.25)):
+                    out = (best, not (best == "’" and x.isalpha() and not odd))
+        self.verdicts[g] = out
+        return out
 
     # -- Cyrillic read in another Cyrillic or Latin encoding ----------------------------------------
 
@@ -398,9 +406,13 @@ class Detector:
 
         for m in self._CYR_RUN.finditer(text):
             s = m[0]
+            if s in self.words:
+                continue
             if not ("\xbf" < s[0] < "Ͱ" or "─" <= s[0] <= "╿" or "Ѐ" <= s[0] <= "ӿ") or len(s) > 60:
                 continue
             if "а" <= s[1] <= "я" and "а" <= s[-1] <= "я" and score(s.lower()) / (len(s) - 1) > -7:
+                if len(self.words) < 100_000:
+                    self.words.add(s)
                 continue
             now = score(s)
             for name, t in self.cyr.items():
