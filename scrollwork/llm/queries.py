@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollwork.llm import bpe, confusables, mojibake, packing, setjoin
+from scrollwork.llm import bpe, confusables, mojibake, names, packing, setjoin
 from scrollwork.sources.tables import table
 
 #: What separates the values of hook_dna.
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_records(_hooks(spark, d), 3, 5).toDF("analysis_id_a", "analysis_id_b")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "analysis").select("book", F.explode("characters.name").alias("spelling"))
+    return names.linked(typed, table(spark, d, "characters"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "characters").select(F.lit("characters").alias("table_name"), "book", F.col("id").alias("row_key"), F.col("name").alias("text"))
     a = table(spark, d, "analysis").select(F.lit("analysis").alias("table_name"), "book", F.col("analysis_id").cast("string").alias("row_key"), F.col("summary").alias("text"))
@@ -52,7 +57,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_packs": p8_packs, "p9_found": p9_found, "p9_restored": p9_restored}
 
 ORACLE = {
     "p1_found": r"""
