@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrollwork.functions import packs
+
 #: What counts as white space, code point for code point.
 WS_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: The same class in RE2 notation, for the SQL twins.
 WS_CLASS_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: What a fingerprint leaves out, and what separates the pieces of a hook.
+FP_DROP = r"[\s，,。.、；;：:!！?？\"'“”‘’()（）【】\[\]-]+"
+DNA_SPLIT = r"[-—–－/／、,，;；|:：\t-\r\x1c-\x20\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+DNA_SPLIT_RE2 = r"[-—–－/／、,，;；|:：\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 
 def strip_ws(c: Column) -> Column:
     """`c` without white space of any kind at either end; null stays null."""
@@ -18,3 +25,70 @@ def strip_ws(c: Column) -> Column:
 
 def strip_ws_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{WS_CLASS_RE2}+|{WS_CLASS_RE2}+$', '', 'g')"
+
+
+#: What ends a line, and the same in RE2 notation.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_END_RE2 = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def count_words(c: Column) -> Column:
+    """Characters without white space."""
+    return F.length(F.regexp_replace(c, f"{WS_CLASS}+", ""))
+
+
+def lines(c: Column) -> Column:
+    """The lines of a text; an empty line after the last line end is none."""
+    a = F.split(c, LINE_END)
+    return F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+
+
+def narration(c: Column) -> Column:
+    """A text without quoted speech and headings."""
+    return F.regexp_replace(F.regexp_replace(c, packs.SPEECH, ""), "(?md)^#.*$", "")
+
+
+def sentences(c: Column, least: int = 2) -> Column:
+    """Trimmed sentences of at least `least` characters."""
+    return F.filter(F.transform(F.split(c, packs.SENTENCE_END), strip_ws), lambda s: F.length(s) >= least)
+
+
+def hits(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def grams(c: Column, n: int) -> Column:
+    """Overlapping n-grams of a string, in order; none if it is shorter."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def fingerprint(c: Column) -> Column:
+    """First ten hex digits of the SHA-1 of a title in lower case without punctuation; empty for an empty one."""
+    s = F.regexp_replace(F.lower(strip_ws(F.coalesce(c, F.lit("")))), FP_DROP, "")
+    return F.when(s == "", "").otherwise(F.substring(F.sha1(s), 1, 10))
+
+
+def dna(c: Column) -> Column:
+    """Distinct pieces of a hook of at least two characters, or the whole of it if it has none."""
+    v = F.coalesce(c, F.lit(""))
+    t = F.array_distinct(F.filter(F.split(v, DNA_SPLIT), lambda x: F.length(x) >= 2))
+    whole = strip_ws(v)
+    return F.when((F.size(t) == 0) & (F.length(whole) >= 2), F.array(whole)).otherwise(t)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Overlap of two sets; 0 if either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+
+
+def plan_field(c: Column, field: str) -> Column:
+    """The value of the first line `field: value` of a plan, null if there is none."""
+    v = F.regexp_extract(c, f"(?md)^[ \\t]*(?:[-*+][ \\t]+)?\\*{{0,2}}{field}\\*{{0,2}}[ \\t]*[:：][ \\t]*([^\\n\\r]*)", 1)
+    return F.when(v == "", None).otherwise(strip_ws(v))
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case ASCII words, then Chinese characters and pairs of neighbours, with repeats."""
+    words = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    runs = F.regexp_extract_all(c, F.lit(f"[{packs.HAN}]+"), F.lit(0))
+    return F.concat(words, F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 1), grams(r, 2)))))
