@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,9 +59,17 @@ def hits(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def grams(c: Column, n: int) -> Column:
-    """Overlapping n-grams of a string, in order; none if it is shorter."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Overlapping n-grams of a string, in order; none if it is shorter. Characters are split once, as a string has no direct access."""
+    def all_(a: Column) -> Column:
+        return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.concat(*[F.element_at(a, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.split(c, ""), all_)
 
 
 def fingerprint(c: Column) -> Column:
