@@ -8,7 +8,6 @@ known at its time and searches it for the greatest valid time below its own.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,9 +73,13 @@ class PersistentTree:
         return self.payload[best] if best else None
 
 
+def _found(ent: list[str], ids: list[int], pay: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"entity": pd.Series(ent, dtype=object), "event_id": pd.Series(ids, dtype="int64"), "payload": pd.Series(pay, dtype="int64")})
+
+
 def _search_shard(key: tuple, facts: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
     if not len(facts) or not len(events):
-        return pd.DataFrame({"entity": [], "event_id": [], "payload": []})
+        return _found([], [], [])
     by: dict[str, list] = {}
     facts = facts.sort_values(["known", "payload"], kind="stable")
     for e, k, v, p in zip(facts["entity"].tolist(), facts["known"].tolist(), facts["valid"].tolist(), facts["payload"].tolist()):
@@ -97,7 +100,7 @@ def _search_shard(key: tuple, facts: pd.DataFrame, events: pd.DataFrame) -> pd.D
             ent.append(e)
             ids.append(i)
             pay.append(p)
-    return pd.DataFrame({"entity": ent, "event_id": ids, "payload": pay})
+    return _found(ent, ids, pay)
 
 
 def as_known(facts: DataFrame, events: DataFrame, rows_per_shard: int = 60_000, largest: int = 400_000) -> DataFrame:
@@ -131,9 +134,11 @@ def as_known(facts: DataFrame, events: DataFrame, rows_per_shard: int = 60_000,
     e = e.where("span is null or valid > v0").withColumn("cut", F.explode(F.when(F.col("span").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), top))))
     # A cut or copied entity has shards of its own: the two further parts are zero for all others.
     def key(x: DataFrame) -> DataFrame:
-        return x.withColumn("shard", F.when(F.col("span").isNull(), small).otherwise(F.xxhash64("entity", "cut", "copy")))
+        return x.withColumn("shard", F.when(F.col("span").isNull(), small).otherwise(F.xxhash64("entity", F.col("cut").cast("long"), F.col("copy").cast("long"))))
 
     f, e = key(f).select("shard", "entity", "valid", "known", "payload"), key(e).select("shard", "entity", "event_id", "valid", "known")
+    # A stated number of partitions: by their few bytes the shards would be put together into one task.
+    f, e = f.repartition(shards, "shard"), e.repartition(shards, "shard")
     hits = f.groupBy("shard").cogroup(e.groupBy("shard")).applyInPandas(_search_shard, "entity string, event_id long, payload long")
     # Of several ranges the highest that has an answer counts; payloads of one entity are told apart by their valid time.
     many = facts.join(special.where("cuts > 1").select("entity"), "entity", "left_semi").select("entity", "payload", "valid", "known")

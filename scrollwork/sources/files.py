@@ -56,14 +56,14 @@ def json_lines(spark: SparkSession, path: str, schema: str = TIMELINE, strict: b
 
 def analyses(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
     """Chapter analyses, one file each; unreadable ones are left out."""
-    a = spark.read.schema(ANALYSIS + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder).cache()
+    a = spark.read.schema(ANALYSIS + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder)
     a = a.where("_bad is null and chapter is not null").drop("_bad")
     return a if upto is None else a.where(F.col("chapter") <= upto)
 
 
 def bad_analyses(spark: SparkSession, folder: str) -> DataFrame:
     """Files that aren't analyses: (name, code)."""
-    a = spark.read.schema(ANALYSIS + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder).withColumn("name", F.col("_metadata.file_name")).cache()
+    a = spark.read.schema(ANALYSIS + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder).withColumn("name", F.col("_metadata.file_name"))
     n = F.regexp_extract("name", r"^(\d+)", 1).try_cast("int")
     code = F.when(F.col("_bad").isNotNull(), "analysis_bad_json").when(F.col("chapter").isNull(), "no_chapter").when(F.col("chapter") != n, "name_mismatch")
     return a.select("name", code.alias("code")).where("code is not null")
