@@ -313,10 +313,10 @@ def _match_shard(key: tuple, names: pd.DataFrame, spellings: pd.DataFrame) -> pd
                 cols["spelling"].append(s)
                 cols["rank"].append(rank)
                 cols["character_id"].append(who)
-    return pd.DataFrame(cols).astype({"rank": "int32"})
+    return pd.DataFrame({k: pd.Series(v, dtype="int32" if k == "rank" else object) for k, v in cols.items()})
 
 
-def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_000, spellings_per_task: int = 20_000) -> DataFrame:
+def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_000, spellings_per_task: int = 2_000) -> DataFrame:
     """Rows (book, spelling, character_id) for the spellings that mean one character of their book.
 
     spellings: (book, spelling); those equal to a name or alias of the book, null and blank ones have
@@ -339,6 +339,8 @@ def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_
     shard = F.when(F.col("tries").isNull(), F.pmod(F.xxhash64("book"), F.lit(shards))).otherwise(F.xxhash64("book", F.col("trie").cast("long"), F.col("task").cast("long")))
     names = names.select(shard.alias("shard"), "book", "id", "name", "main")
     words = words.select(shard.alias("shard"), "book", "spelling")
+    # A stated number of partitions: by their few bytes the shards would be put together into one task.
+    names, words = names.repartition(shards, "shard"), words.repartition(shards, "shard")
     finds = names.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_match_shard, "book string, spelling string, rank int, character_id string")
     # Ranks of one kind of evidence (tens, from 60 on pairs) are equal.
     kind = F.when(F.col("rank") < 60, F.floor(F.col("rank") / 10)).otherwise(60 + F.floor((F.col("rank") - 60) / 2))
