@@ -303,7 +303,7 @@ class Detector:
         odd = any(_ODD.match(text[a:b]) for a, b, _ in parts)
         if odd and near_han and weight >= 4:
             return True
-        return matches >= 2 and weight >= 15 and weight / matches >= 4
+        return matches >= 2 and weight >= 15 and weight / matches >= (4 if matches < 5 else 3)
 
     def _run(self, text: str, start: int, end: int, p: int) -> tuple[int, int]:
         """The widest run around a seed of signs that the wrong encoding has, ASCII only where inside."""
