@@ -271,8 +271,11 @@ class Detector:
                     done.append((p, o))
                 open_[p] = [start, end, w, 1, [(start, end, restored)], start, w]
         done.extend(open_.items())
-        for p, o in done:
-            if self._accept(text, p, o):
+        # A pair that one span proves holds for the text's weaker matches of it too.
+        sure = [self._accept(text, p, o) for p, o in done]
+        proven = {p for (p, _), yes in zip(done, sure) if yes and self.pairs[p][2] == "utf8"}
+        for (p, o), yes in zip(done, sure):
+            if yes or p in proven:
                 true, wrong, _ = self.pairs[p]
                 out, at = [], o[0]
                 for a, b, r in o[4]:
