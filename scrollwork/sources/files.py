@@ -74,7 +74,7 @@ def ban_list(texts: DataFrame, header: str = "禁用清单") -> DataFrame:
     x = texts.select("doc_id", F.posexplode(lines(F.col("text"))).alias("no", "line")).withColumn("line", strip_ws(F.col("line")))
     w = Window.partitionBy("doc_id").orderBy("no")
     x = x.withColumn("head", F.last(F.when(F.col("line").startswith("#"), F.col("line")), ignorenulls=True).over(w))
-    x = x.where(F.col("head").contains(header) & F.col("line").startswith("- ")).withColumn("p", strip_ws(F.regexp_replace(F.substring("line", 3, 1 << 20), r"\s*\[[^\]]*\]\s*$", "")))
+    x = x.where(F.col("head").contains(header) & F.col("line").startswith("- ")).withColumn("p", strip_ws(F.regexp_replace(F.substring("line", 3, 1 << 20), r"\s+\[[A-Za-z0-9_-]+\]\s*$", "")))
     return x.where("p <> ''").select("doc_id", F.regexp_replace("p", "^regex:", "").alias("pattern"), F.col("p").startswith("regex:").alias("regex"))
 
 
