@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
+from re import _parser as re_parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +58,49 @@ def sentences(c: Column, least: int = 2) -> Column:
     return F.filter(F.transform(F.split(c, packs.SENTENCE_END), strip_ws), lambda s: F.length(s) >= least)
 
 
+def first_chars(pattern: str) -> set[str] | None:
+    """The characters a match can begin with, or None if they aren't a short list."""
+    def of(items: list) -> tuple[set[str], bool] | None:  # noqa: ANN401
+        out: set[str] = set()
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                return out | {chr(arg)}, False
+            if name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+                return out | {chr(a) for _, a in arg}, False
+            if name == "SUBPATTERN":
+                got = of(list(arg[3]))
+            elif name == "BRANCH":
+                parts = [of(list(x)) for x in arg[1]]
+                got = None if None in parts else (set().union(*(x[0] for x in parts)), any(x[1] for x in parts))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                got = of(list(arg[2]))
+                got = got and (got[0], got[1] or arg[0] == 0)
+            else:
+                return None
+            if got is None:
+                return None
+            out |= got[0]
+            if not got[1]:
+                return out, False
+        return out, True
+
+    got = of(list(re_parser.parse(pattern)))
+    return got[0] if got and not got[1] and len(got[0]) < 200 else None
+
+
+@lru_cache(256)
+def guarded(pattern: str) -> str:
+    """`pattern` behind a look at its possible first characters: one test of a class where an alternation would try every branch."""
+    chars = first_chars(pattern)
+    if not chars:
+        return pattern
+    return f"(?=[{''.join(re.escape(c) for c in sorted(chars))}])(?:{pattern})"
+
+
 def hits(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+    """How often a pattern without groups of its own matches."""
+    return F.regexp_count(c, F.lit(guarded(pattern)))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
