@@ -22,9 +22,9 @@ def _one(f):  # noqa: ANN001, ANN202
 
 
 def bm25_plans(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks of all chapters for every plan as a query."""
+    """The chunks of all chapters for every plan, its whole text, as a query."""
     docs = table(spark, d, "documents")
-    queries = docs.where("doc_kind = 'plan' and text is not null").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    queries = docs.where("doc_kind = 'plan' and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.bm25(retrieval.chunks(docs.where("doc_kind = 'chapter'")), queries)
 
 

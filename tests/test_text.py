@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from scrollwork.functions import packs, text
 from scrollwork.operators import checks, lookup, metrics, retrieval, rules, similarity
@@ -119,6 +120,43 @@ def test_bm25(docs, spark, rows):
     assert got == [(0, 1), (1, 0)] and retrieval.bm25(c, q).where("query_id > 1").count() == 0
 
 
+def test_bm25_of_whole_plans_against_brute_force(spark, tmp_path):
+    import math
+    import random
+
+    from scrollwork.plans import corpusqueries
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["Rook", "gate", "l9", "甲乙", "丙", "丁戊己", "刀", "，"])
+    body = lambda n: " ".join(word() for _ in range(n))
+    chapters = [(i, "chapter", "\n\n".join(body(rnd.randint(20, 60)) for _ in range(rnd.randint(0, 5)))) for i in range(30)]
+    tail = "末" + body(5)
+    chapters += [(30, "chapter", tail), (31, "chapter", tail)]
+    plans = [(50 + i, "plan", "# 计划 " + "…" * 60 + body(40)) for i in range(5)] + [(60, "plan", "…" * 80 + "末"), (61, "plan", None), (62, "plan", "…")]
+    spark.createDataFrame(chapters + plans, "doc_id long, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpusqueries.bm25_plans(spark, str(tmp_path))
+
+    parts = [tuple(r) for r in retrieval.chunks(spark.createDataFrame(chapters, "doc_id long, k string, text string")).collect()]
+    toks = {r[:2]: [x for x in spark.range(1).select(text.tokens(F.lit(r[2]))).first()[0]] for r in parts[:3]}
+    assert all(sorted(toks[r[:2]]) == sorted(retrieval._local_tokens(r[2])) for r in parts[:3])
+    toks = {r[:2]: retrieval._local_tokens(r[2]) for r in parts}
+    avg = sum(map(len, toks.values())) / len(toks)
+    want = set()
+    for q, _, t in plans:
+        s = {}
+        for at, ts in toks.items():
+            for w in set(retrieval._local_tokens(t or "")) & set(ts):
+                df, tf = sum(w in x for x in toks.values()), ts.count(w)
+                s[at] = s.get(at, 0) + math.log(1 + (len(toks) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avg))
+        best = sorted(((round(x, 6), *at) for at, x in s.items()), reverse=True)[:8]
+        want |= {(q, d, c, x, i + 1) for i, (x, d, c) in enumerate(best)}
+    assert {tuple(r) for r in got.select("query_id", "doc_id", "chunk", "score", "rank").collect()} == want
+    assert {r[1] for r in want if r[0] == 60} == {30, 31}
+    chapters = retrieval.chunks(spark.createDataFrame(chapters, "doc_id long, k string, text string"))
+    cut = retrieval.bm25(chapters, spark.createDataFrame([p[::2] for p in plans], "query_id long, query string"), tokens_per_task=900, queries_per_task=2, at_once=3)
+    assert {tuple(r) for r in cut.select("query_id", "doc_id", "chunk", "score", "rank").collect()} == want
+
+
 def test_edit_guard_and_locks(docs, rows):
     long = "# 题\n" + "\n".join(["“说话。”" + "字" * 60] * 8)
     got = rows(checks.edit_guard(docs(long, "x" * 100, long), docs("太短", "x" * 100, long)))
