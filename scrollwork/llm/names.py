@@ -239,8 +239,11 @@ class Book:
                     if form and self.forms[form].get(who, 9) > 2:
                         self.forms[form][who] = 2
 
-    def find(self, spelling: str) -> tuple[int, list[str]]:
-        """(rank of the best evidence, the ids it names); rank 99 if there is none."""
+    def find(self, spelling: str) -> tuple[int, dict[str, bool]]:
+        """(rank of the best evidence, the ids it names and whether each is the closer one); rank 99 if there is none.
+
+        Among several ids the closer one counts if it is the only one, see `linked`: that is decided over all tries.
+        """
         got: dict[str, int] = {}
         forms = readings(spelling)
         for form, more in forms:
@@ -249,11 +252,8 @@ class Book:
         if got:
             best = min(got.values())
             # Evidence of one kind names one person or nobody; accents decide between people who differ in them.
-            ids = sorted(w for w, k in got.items() if k // 10 == best // 10)
-            if len(ids) > 1:
-                same = [w for w in ids if any(self._accented(spelling) in x for x in self.accented[w])]
-                ids = same if len(same) == 1 else ids
-            return best, ids
+            own = self._accented(spelling)
+            return best, {w: any(own in x for x in self.accented[w]) for w, k in got.items() if k // 10 == best // 10}
         near: dict[str, int] = {}
         cjk = bool(_CJK.search(plain(spelling)))
         for form, more in forms:
@@ -268,12 +268,10 @@ class Book:
                     continue
                 near[who] = min(near.get(who, 99), dist * 2 + more)
         if not near:
-            return 99, []
+            return 99, {}
         best = min(near.values())
-        ids = sorted(w for w, k in near.items() if k // 2 == best // 2)
-        if cjk and len(ids) > 1:
-            ids = self._by_sound("".join(parts(plain(spelling))), ids)
-        return 60 + best, ids
+        word = "".join(parts(plain(spelling)))
+        return 60 + best, {w: cjk and self._sounds_like(word, w) for w, k in near.items() if k // 2 == best // 2}
 
     @staticmethod
     def _accented(name: str) -> str:
@@ -286,17 +284,12 @@ class Book:
                 return True
         return False
 
-    def _by_sound(self, word: str, ids: list[str]) -> list[str]:
-        gaps = {}
-        for who in ids:
-            gaps[who] = min((max((_sound_gap(a, b) for a, b in zip(word, full) if a != b), default=0) if len(word) == len(full) else 9_000) for full in self.full[who])
-        best = min(gaps.values())
-        close = [w for w in ids if gaps[w] <= max(25, best)]
-        return close if best <= 25 else ids
+    def _sounds_like(self, word: str, who: str) -> bool:
+        return any(len(word) == len(full) and max((_sound_gap(a, b) for a, b in zip(word, full) if a != b), default=0) <= 25 for full in self.full[who])
 
 
 def _match_shard(key: tuple, names: pd.DataFrame, spellings: pd.DataFrame) -> pd.DataFrame:
-    cols: dict[str, list] = {"book": [], "spelling": [], "rank": [], "character_id": []}
+    cols: dict[str, list] = {"book": [], "spelling": [], "rank": [], "character_id": [], "closer": []}
     if len(names) and len(spellings):
         by: dict[str, list] = defaultdict(list)
         for b, w, n, main in zip(names["book"], names["id"], names["name"], names["main"]):
@@ -308,12 +301,14 @@ def _match_shard(key: tuple, names: pd.DataFrame, spellings: pd.DataFrame) -> pd
             if b not in books:
                 books[b] = Book(by[b])
             rank, ids = books[b].find(s)
-            for who in ids[:2]:  # two are enough to know that it isn't one
+            # Two are enough to know that it isn't one, of the closer ones as of all.
+            for who in sorted(ids, key=lambda w: (not ids[w], w))[:2]:
                 cols["book"].append(b)
                 cols["spelling"].append(s)
                 cols["rank"].append(rank)
                 cols["character_id"].append(who)
-    return pd.DataFrame({k: pd.Series(v, dtype="int32" if k == "rank" else object) for k, v in cols.items()})
+                cols["closer"].append(ids[who])
+    return pd.DataFrame({k: pd.Series(v, dtype={"rank": "int32", "closer": "bool"}.get(k, object)) for k, v in cols.items()})
 
 
 def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_000, spellings_per_task: int = 2_000) -> DataFrame:
@@ -321,7 +316,7 @@ def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_
 
     spellings: (book, spelling); those equal to a name or alias of the book, null and blank ones have
     no row, nor have spellings whose best evidence fits several characters. Books share tasks; one with more names than
-    `names_per_trie` is cut into several tries, whose best finds are compared, and one with more
+    `names_per_trie` is cut into several tries, whose best finds are compared and their ties broken together, and one with more
     spellings than `spellings_per_task` is spread.
     """
     listed = characters.select("book", "id", F.explode(F.concat(
@@ -341,9 +336,12 @@ def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_
     words = words.select(shard.alias("shard"), "book", "spelling")
     # A stated number of partitions: by their few bytes the shards would be put together into one task.
     names, words = names.repartition(shards, "shard"), words.repartition(shards, "shard")
-    finds = names.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_match_shard, "book string, spelling string, rank int, character_id string")
+    finds = names.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_match_shard, "book string, spelling string, rank int, character_id string, closer boolean")
     # Ranks of one kind of evidence (tens, from 60 on pairs) are equal.
     kind = F.when(F.col("rank") < 60, F.floor(F.col("rank") / 10)).otherwise(60 + F.floor((F.col("rank") - 60) / 2))
-    best = finds.withColumn("kind", kind).groupBy("book", "spelling").agg(F.min("kind").alias("_k"), F.collect_set(F.struct("kind", "character_id")).alias("_all"))
-    ids = F.array_distinct(F.transform(F.filter("_all", lambda x: x["kind"] == F.col("_k")), lambda x: x["character_id"]))
-    return best.select("book", "spelling", ids.alias("ids")).where(F.size("ids") == 1).select("book", "spelling", F.element_at("ids", 1).alias("character_id"))
+    best = finds.withColumn("kind", kind).groupBy("book", "spelling").agg(F.min("kind").alias("_k"), F.collect_set(F.struct("kind", "character_id", "closer")).alias("_all"))
+    ids = F.filter("_all", lambda x: x["kind"] == F.col("_k"))
+    # Accents and sounds decide only here, as those they decide between may come from different tries.
+    closer = F.filter(ids, lambda x: x["closer"])
+    one = F.when(F.size(ids) == 1, F.element_at(ids, 1)["character_id"]).when(F.size(closer) == 1, F.element_at(closer, 1)["character_id"])
+    return best.select("book", "spelling", one.alias("character_id")).where("character_id is not null")

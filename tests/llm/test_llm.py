@@ -73,6 +73,21 @@ def test_linked(spark, rows):
     assert names.linked(s, c.limit(0)).count() == 0
 
 
+def test_ties_are_broken_over_all_tries(spark, rows):
+    n = 6
+    at = dict(spark.range(60).selectExpr("concat('C-', id) as i", f"pmod(xxhash64(concat('C-', id)), {n}) as t").collect())
+    a, b = next((x, y) for x in at for y in at if at[x] != at[y])
+    c, d = next((x, y) for x in at for y in at if at[x] != at[y] and not {x, y} & {a, b})
+    e, f = next((x, y) for x in at for y in at if at[x] == at[y] and x < y and not {x, y} & {a, b, c, d})
+    # 兰 and 栏 are near each other by sound, 兰 and 空 are not; two of one name stay undecided.
+    people = [(a, "José Marin"), (b, "Jose Keller"), (c, "林晚兰"), (d, "林晚空"), (e, "Ana Petri"), (f, "Ana Ruiz")]
+    names_ = spark.createDataFrame([("B", i, x, None) for i, x in people], "book string, id string, name string, aliases array<string>")
+    asked = spark.createDataFrame([("B", x) for x in ("José", "Jose", "林晚栏", "Ana", "林晚")], "book string, spelling string")
+    want = sorted([("B", "José", a), ("B", "Jose", b), ("B", "林晚栏", c)], key=repr)
+    assert rows(names.linked(asked, names_)) == want
+    assert rows(names.linked(asked, names_, names_per_trie=1)) == want
+
+
 # -- 6 --------------------------------------------------------------------------------------------
 
 
