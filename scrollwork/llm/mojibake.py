@@ -113,6 +113,11 @@ def _units(s: str) -> str:
     return s.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
+def _edge(ch: str) -> int:
+    """How a character bounds a word beside it: 1 an ASCII letter or digit, 2 another letter but those of East Asia, else 0."""
+    return 0 if not ch.isalnum() else 1 if ch < "\x80" else 2 if ch < "\u2e80" and ch.isalpha() else 0
+
+
 def _char_class(chars: set[str]) -> str:
     return f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
 
@@ -195,7 +200,6 @@ class Detector:
             self.auto.make_automaton()
         self.empty = not found
         self.verdicts: dict[tuple[str, str, str], tuple[str, bool] | None] = {}
-        self.words: set[str] = set()
         self._between()
 
     def _p(self, c: str) -> float:
@@ -214,10 +218,16 @@ class Detector:
                         if x != m and (m.isalpha() and m < "ƀ" or m == "’"):
                             self.behind[x].add(m)
         self.cyr: dict[str, dict[str, str]] = {}
+        self.cyr_keys: dict[str, frozenset[str]] = {}
         for wrong in (*CYRILLIC_TRUE, "latin-1", "cp1252", "mac_roman"):
             for true in CYRILLIC_TRUE:
                 if true != wrong:
                     self.cyr[f"{true}>{wrong}"] = {x: m for x, m in zip(_table(wrong)[128:], _table(true)[128:]) if x != m}
+                    self.cyr_keys[f"{true}>{wrong}"] = frozenset(_table(wrong)[128:])
+        self.cyr_runs = re.compile(_char_class(set().union(*self.cyr_keys.values())) + "+").finditer
+        self.cyr_total = sum(n for g, n in self.grams.items() if len(g) == 2) or 1
+        self.cyr_least = math.log(0.3 / self.cyr_total)
+        self.cyr_verdicts: dict[tuple[str, int, int], tuple] = {}
 
     # -- spans of the automaton -------------------------------------------------
 
@@ -396,35 +406,89 @@ class Detector:
 
     # -- Cyrillic read in another Cyrillic or Latin encoding ----------------------------------------
 
-    _CYR_RUN = re.compile("(?<![^\x00-\x7f])[\u00c0-\u036f\u2500-\u257f\u0400-\u04ff][^\x00-\x7f]{2,}")
+    _LETTERS = re.compile("[\u0400-\u04ff]+")
+    _STRONG = re.compile("[\u00c0-\u036f\u2500-\u257f\u0400-\u04ff]")
 
-    def _cyrillic(self, text: str) -> Iterator[Span]:
-        get = self.grams.get
-        pairs_total = sum(n for g, n in self.grams.items() if len(g) == 2) if not hasattr(self, "_pt") else self._pt
-        self._pt = pairs_total or 1
-        lo = math.log(0.3 / self._pt)
+    _BESIDE = frozenset("\xa0«»„“”‚‘’‹›—–…•·№§°")
 
-        def score(s: str) -> float:
-            return sum(math.log(n / self._pt) if (n := get(s[i : i + 2], 0)) else lo for i in range(len(s) - 1))
+    def _score(self, s: str) -> float:
+        get = self.grams.get
+        return sum(math.log(n / self.cyr_total) if (n := get(s[i : i + 2], 0)) else self.cyr_least for i in range(len(s) - 1))
 
-        for m in self._CYR_RUN.finditer(text):
-            s = m[0]
-            if s in self.words:
-                continue
-            if not ("\xbf" < s[0] < "Ͱ" or "─" <= s[0] <= "╿" or "Ѐ" <= s[0] <= "ӿ") or len(s) > 60:
-                continue
-            if "а" <= s[1] <= "я" and "а" <= s[-1] <= "я" and score(s.lower()) / (len(s) - 1) > -7:
-                if len(self.words) < 100_000:
-                    self.words.add(s)
+    def _cyrillic(self, text: str) -> Iterator[Span]:
+        """Words of Cyrillic letters, whatever surrounds them: stretches of signs that a pair's table can produce, in which the pieces that become letters are scored.
+
+        Words of one letter, and of two if they could be right, count only next to a span of their pair.
+        """
+        verdicts, last = self.cyr_verdicts, len(text)
+        sure: list[tuple[int, int, str | None, str]] = []
+        weak: list[tuple[int, int, str | None, str]] = []
+        for m in self.cyr_runs(text):
+            at, end = m.span()
+            key = (m[0], _edge(text[at - 1]) if at else 0, _edge(text[end]) if end < last else 0)
+            got = verdicts.get(key)
+            if got is None:
+                if len(verdicts) > 200_000:
+                    verdicts.clear()
+                got = verdicts[key] = self._cyrillic_words(*key)
+            for i, j, r, name, yes in got:
+                (sure if yes else weak).append((at + i, at + j, r, name))
+        if not sure:
+            return
+        grown = True
+        while weak and grown:
+            by_start, by_end = {(x[0], x[3]) for x in sure}, {(x[1], x[3]) for x in sure}
+            near = [x for x in weak if any((x[0] - k, x[3]) in by_end and not any(map(str.isalnum, text[x[0] - k : x[0]])) or (x[1] + k, x[3]) in by_start and not any(map(str.isalnum, text[x[1] : x[1] + k])) for k in (1, 2, 3))]
+            grown = bool(near)
+            sure += near
+            weak = [x for x in weak if x not in near]
+        for i, j, r, name in sure:
+            yield Span(i, j, r, name)
+
+    def _cyrillic_words(self, run: str, before: int, after: int) -> tuple[tuple[int, int, str | None, str, bool], ...]:
+        """(start, end, letters, pair, whether sure) of the garbled words in a run; before, after: see `_edge`."""
+        if not self._STRONG.search(run):
+            return ()
+        edges = [before, *map(_edge, run), after]
+        sure: list[tuple[float, int, int, str, str]] = []
+        weak: list[tuple[int, int, str, str, bool]] = []
+        for name, t in self.cyr.items():
+            r = "".join([t.get(ch, ch if ch in self.cyr_keys[name] else " ") for ch in run])
+            # A stretch with other signs than those usual beside words is garbled in some other way.
+            if any(not self._LETTERS.match(x) and x not in self._BESIDE and ch not in self._BESIDE for x, ch in zip(r, run)):
                 continue
-            now = score(s)
-            for name, t in self.cyr.items():
-                r = "".join(t.get(ch, ch) for ch in s)
-                if not all("Ѐ" <= ch <= "ӿ" for ch in r) or not r[1:].islower():
-                    continue
-                if score(r.lower()) - now > 2.2 * len(s) and score(r.lower()) / (len(s) - 1) > -7.5:
-                    yield Span(m.start(), m.end(), r, name)
-                    break
+            for m in self._LETTERS.finditer(r):
+                i, j = m.span()
+                tries = [(i, j)]
+                while i < j and not self._STRONG.match(run[i]):
+                    i += 1
+                while i < j and not self._STRONG.match(run[j - 1]):
+                    j -= 1
+                for i, j in dict.fromkeys([*tries, (i, j)]):
+                    n, s, w = j - i, run[i:j], r[i:j]
+                    strong = len(self._STRONG.findall(s))
+                    if not n or s == w or 2 * strong <= n or edges[i] == 2 or edges[j + 1] == 2 or (n < 3 and (strong < n or edges[i] or edges[j + 1])):
+                        continue
+                    if n == 1:
+                        if w in "авикосуяАВИКОСУЯ" and s not in "авикосуяАВИКОСУЯ":
+                            weak.append((i, j, w, name, False))
+                        continue
+                    low = self._score(w.lower()) if w[1:].islower() or w.isupper() else self._score(w)
+                    now = self._score(s)
+                    if n < 3 or not w[1:].islower():
+                        now = max(now, self._score(s.lower()))
+                    # Two small Cyrillic letters may be a rare word read rightly.
+                    if low / (n - 1) > -7.5 and low - now > 2.2 * n and (n > 2 or not (self._LETTERS.match(s) and s[1:].islower())):
+                        sure.append((now - low, i, j, w, name))
+                    if n == 2 and low > -8 and low > now:
+                        weak.append((i, j, w, name, False))
+        # Of readings that overlap the one that gains most counts; two letters that can be read in several ways stay.
+        out: list[tuple[int, int, str | None, str, bool]] = []
+        for gain, i, j, w, name in sorted(sure, key=lambda x: (round(x[0], 6), x[2] - x[1])):
+            if all(j <= o[0] or o[1] <= i for o in out):
+                clear = j - i > 2 or all(x[3] == w or x[0] > gain + 3 for x in sure if x[1:3] == (i, j))
+                out.append((i, j, w if clear else None, name if clear else "", True))
+        return (*out, *weak)
 
     def spans(self, text: str | None) -> list[Span]:
         """Garbled spans in order; where spans overlap the longer one stays. A null or ASCII text has none."""

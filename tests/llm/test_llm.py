@@ -232,6 +232,25 @@ def test_only_the_span_is_replaced(spark, corpus):
     assert [(r["doc_id"], r["restored"], r["n_lost"]) for r in got] == [(len(corpus), f"{ZH}没有人应声{FR}", 0)]
 
 
+@pytest.mark.parametrize("before,word,after", [("«", "карту", "»"), ("他说", "гонец", "，"), ("—", "спрятал", "…"), ("", "КАРТУ", "!"), ("x ", "карту на столе в", " y"), ("", "гонец—спрятал", ""), ("", "спряталкартубезподписи" * 4, "")])
+@pytest.mark.parametrize("true,read", [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "cp866")])
+def test_cyrillic_words_in_any_place(before, word, after, true, read):
+    from collections import Counter
+
+    grams = Counter()
+    text = "гонец спрятал карту без подписи в последний раз, никто не отвечал, на столе. " * 200 + "спряталкартубезподписиспрятал " * 9
+    text += "«À», où — était-ce l'été ? “É”, ÄÖÜ. " * 50 + "他说：“——你……” «Да», — сказал он. НЕ НА "
+    grams.update(text)
+    for w in mojibake._CYRILLIC_WORD.findall(text):
+        grams.update(map("".join, zip(w, w[1:])))
+    d = mojibake.Detector(grams)
+    assert not list(d._cyrillic(text))
+    parts = [mojibake._read(x.encode(true), read) for x in word.split("—")]
+    bad = before + "—".join(parts) + after
+    assert d.restore(bad, [s for s in d.spans(bad) if s.pair == f"{true}>{read}"]) == before + word + after
+    assert d.is_garbled(f"x {mojibake._read('на'.encode(true), read)} y") == (read != "cp866")  # two small letters there
+
+
 def test_queries_run_over_whole_tables(spark):
     from scrollwork.llm import queries
 
