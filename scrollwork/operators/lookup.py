@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrollwork.operators import ledger, metrics
+from scrollwork.sources import files
 
 
 def _chapters(df: DataFrame, reason: str) -> DataFrame:
@@ -57,13 +58,40 @@ def recent(analysis: DataFrame, n: int = 3) -> DataFrame:
     return ledger.current(analysis, "title").withColumn("r", r).where(f"r <= {n}").select("book", "chapter", "title")
 
 
-def related(analysis: DataFrame, foreshadows: DataFrame, books: DataFrame, most: int = 6, skip: int = 8) -> DataFrame:
-    """Earlier chapters worth rereading before the current one: where open threads were planted and where the hook's pieces
-    were last used; not the last `skip`, at most `most` per book, the latest first: (book, chapter, reasons, rank)."""
-    now = books.groupBy("book").agg(F.max("current_chapter").alias("now"))
-    plants = ledger.live_threads(foreshadows, books).where("status in ('planted', 'advanced') and planted_chapter is not null").select("book", F.col("planted_chapter").alias("chapter"), F.concat(F.lit("thread:"), "id").alias("reason"))
-    owed = ledger.current(analysis, "sets_up").select("book", "chapter", F.explode("sets_up").alias("s")).where("s <> ''").select("book", "chapter", F.concat(F.lit("setup:"), "s").alias("reason"))
-    x = plants.unionByName(owed).join(now, "book").where(F.col("chapter") < F.col("now") - skip)
+def related(analysis: DataFrame, foreshadows: DataFrame, books: DataFrame, documents: DataFrame, characters: DataFrame, most: int = 6, skip: int = 8, quiet: int = 12) -> DataFrame:
+    """Earlier chapters worth rereading before the current one: where threads that its plan names were planted, where its
+    cast that is `quiet` chapters away was last seen, the last mention in an event of up to four possessions that its plan
+    names, and where setups were made that are `quiet` chapters old and that no later chapter took up. Only analysed
+    chapters, not the last `skip`, at most `most` per book, the latest first: (book, chapter, reasons, rank)."""
+    now = books.groupBy("book").agg(F.max("current_chapter").alias("now")).where("now is not null")
+    a = ledger.current(analysis, "sets_up", "depends_on", "plot_points")
+    plans = documents.where("doc_kind = 'plan' and text is not null").join(now, (documents["book"] == now["book"]) & (documents["chapter"] == now["now"])).select(now["book"], "now", "doc_id", "text")
+    plans = plans.groupBy("book").agg(F.max("now").alias("now"), F.max_by("text", "doc_id").alias("text"), F.max("doc_id").alias("doc_id"))
+    plan = plans.select("book", "text")
+
+    named = F.col("text").contains(F.col("id")) | F.coalesce((F.col("title") != "") & F.col("text").contains(F.col("title")), F.lit(False))
+    planted = F.when(F.col("planted_chapter") != 0, F.col("planted_chapter")).otherwise(F.col("planned_chapter"))
+    threads = ledger.live_threads(foreshadows, books).join(plan, "book").where(named).select("book", planted.alias("chapter"), F.concat(F.lit("thread:"), "id").alias("reason"))
+
+    people = ledger.latest_characters(characters).where("deleted_at is null")
+    cast = files.plan_cast(plans).join(plans.select("doc_id", "book", "now"), "doc_id").join(ledger.owners(characters), ["book", "name"]).select("book", "now", F.col("character_id").alias("id")).distinct()
+    absent = cast.join(people.select("book", "id", "last_chapter"), ["book", "id"]).where(F.col("now") - F.col("last_chapter") >= quiet).select("book", F.col("last_chapter").alias("chapter"), F.concat(F.lit("absent:"), "id").alias("reason"))
+
+    items = people.select("book", F.explode(F.from_json(F.col("state")["possessions"], "array<string>")).alias("item")).where("length(item) >= 2").distinct()
+    items = items.join(plan, "book").where(F.col("text").contains(F.col("item"))).withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy("item"))).where("r <= 4").select("book", "item")
+    events = a.join(now, "book").where(F.col("chapter") < F.col("now") - skip).select("book", "chapter", F.explode("plot_points").alias("event"))
+    held = items.join(events, "book").where(F.col("event").contains(F.col("item"))).groupBy("book", "item").agg(F.max("chapter").alias("chapter")).select("book", "chapter", F.concat(F.lit("item:"), "item").alias("reason"))
+
+    earlier = a.join(now, "book").where("chapter < now")
+    owed = earlier.where(F.col("now") - F.col("chapter") >= quiet).select("book", "chapter", F.explode("sets_up").alias("s")).where("s <> ''").distinct()
+    # An entry names its chapter, then what it takes up; some go on with what follows from it.
+    core = F.trim(F.regexp_replace(F.split(F.col("d"), "->")[0], "^\\s*第?\\s*[0-9]+\\s*章?\\s*[:：]", ""))
+    taken = earlier.select("book", F.col("chapter").alias("at"), F.explode("depends_on").alias("d")).select("book", "at", F.substring(core, 1, 12).alias("core")).where("core <> ''").distinct()
+    met = (owed["book"] == taken["book"]) & (taken["at"] >= owed["chapter"]) & owed["s"].startswith(taken["core"])
+    setups = owed.join(taken, met, "left_anti").select("book", "chapter", F.concat(F.lit("setup:"), "s").alias("reason"))
+
+    x = threads.unionByName(absent).unionByName(held).unionByName(setups).join(now, "book").where(F.col("chapter") < F.col("now") - skip)
+    x = x.join(a.select("book", "chapter"), ["book", "chapter"], "left_semi")
     x = x.groupBy("book", "chapter").agg(F.array_join(F.array_sort(F.collect_set("reason")), ";").alias("reasons"))
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("chapter")))).where(f"rank <= {most}")
 

@@ -40,7 +40,7 @@ QUERIES = {f"CHK_{g}": _group(g) for g in checks.GROUPS} | {
     "LK-01_character": _q(lambda a, c: lookup.character(a, c, "亓远"), "analysis", "characters"),
     "LK-02_threads": _q(lambda f: lookup.serialized(f.select("book", "id", "title", "status"), "abandoned", "book", "id"), "foreshadows"),
     "LK-08_recent": _q(lookup.recent, "analysis"),
-    "CP-04_related": _q(lookup.related, "analysis", "foreshadows", "books"),
+    "CP-04_related": _q(lookup.related, "analysis", "foreshadows", "books", "documents", "characters"),
     "CP-01_context": _q(lookup.context, "analysis", "characters", "foreshadows", "books"),
     "LG-20_next_action": _q(lookup.next_action, "books", "documents", "analysis"),
     "CP-02_budget": _q(lambda b: b.where("current_chapter is not null").select("book", lookup.budget(F.col("current_chapter")).alias("budget")), "books"),

@@ -240,6 +240,21 @@ def test_lists_and_arcs(docs, rows, spark):
     assert one(files.arc_of(a, 12), "doc_id") == (1,) and one(files.arc_of(a, 99), "doc_id") == (1,)
 
 
+def test_related_chapters_of_four_kinds(spark, rows):
+    at = "timestamp'2024-01-01'"
+    setup = {1: "灯灭了 -> 后承", 2: "门开着，没人守在那里等他回来 -> 后承", 20: "新线 -> 后承"}
+    takes = {5: "第2章:门开着，没人守在那里等他", 6: "->无"}
+    made = [(i, i, setup.get(i), takes.get(i), "他丢了铜钥匙。" if i in (3, 4, 25) else "无事。") for i in range(1, 30) if i != 9]
+    a = spark.createDataFrame(made, "analysis_id long, chapter int, s string, d string, p string").selectExpr("analysis_id", "'B' as book", "chapter", f"{at} as submitted_at", "array(s) as sets_up", "array(d) as depends_on", "array(p) as plot_points")
+    th = spark.createDataFrame([("F-1", "旧灯", 7), ("F-2", "不提", 8), ("F-3", "无析", 9)], "id string, title string, planted_chapter int").selectExpr("'B' as book", "id", "title", "'' as fp", "'planted' as status", "1 as tier", "'' as scope", "false as cross_volume", "1 as min_payoff_spacing", "1 as planned_chapter", "planted_chapter", "99 as deadline_chapter", "1 as last_touched", f"{at} as created_at", "cast(null as timestamp) as deleted_at")
+    ch = spark.createDataFrame([("C-1", "甲", ["老甲"], 10, '["铜钥匙"]'), ("C-2", "乙", None, 28, None), ("C-3", "丙", None, 11, None)], "id string, name string, aliases array<string>, last_chapter int, held string")
+    ch = ch.selectExpr("'B' as book", "id", "name", "aliases", "'major' as role", "map('possessions', held) as state", "cast(null as string) as relationships", "1 as first_chapter", "last_chapter", f"{at} as created_at", f"{at} as updated_at", "cast(null as timestamp) as deleted_at")
+    books = spark.sql("select 'B' as book, 30 as current_chapter")
+    plan = spark.sql("select 1L as doc_id, 'plan' as doc_kind, 'B' as book, 30 as chapter, '# 计划\\n出场角色: 老甲, 乙\\n旧灯复燃，F-3 与铜钥匙' as text")
+    got = lookup.related(a, th, books, plan, ch)
+    assert rows(got, "chapter", "reasons") == sorted([(10, "absent:C-1"), (7, "thread:F-1"), (4, "item:铜钥匙"), (1, "setup:" + setup[1])], key=repr)
+
+
 def test_folding(spark, rows):
     from pyspark.sql import functions as F
 
