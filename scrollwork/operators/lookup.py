@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrollwork.functions.text import count_words, strip_ws
 from scrollwork.operators import ledger, metrics
 from scrollwork.sources import files
 
@@ -114,23 +115,50 @@ def folded(sections: DataFrame, caps: dict[str, int], scale: Column) -> DataFram
     return x.where((F.col("used") <= F.col("cap")) | F.col("cap").isNull() | (F.col("used") == F.length("text")))
 
 
-#: Caps of the sections in characters.
+def skeleton(a: DataFrame) -> DataFrame:
+    """The first 120 characters of every tenth chapter's summary: (book, ord, text).
+
+    a: (book, chapter, title, summary, now). If they exceed the cap in words, the latest 5 to 10 stay as they are and
+    those before are condensed, 50 chapters a row: 24 characters a chapter, at most 150 a row.
+    """
+    scale = F.greatest(F.lit(0.3), budget(F.col("now")) / 8000)
+    by = Window.partitionBy("book")
+    brief = F.substring(F.coalesce("summary", F.lit("")), 1, 120)
+    x = a.where("chapter % 10 = 0 and chapter > 0").select("book", "chapter", "title", "now", brief.alias("s"))
+    x = x.withColumn("line", F.concat(F.lit("第 "), "chapter", F.lit(" 章《"), F.coalesce("title", F.lit("")), F.lit("》:"), "s", F.lit("…")))
+    near = F.greatest(F.lit(5), F.least(F.lit(10), F.floor(scale * 5)))
+    x = x.withColumn("n", F.sum(count_words(F.col("line"))).over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("chapter"))))
+    x = x.withColumn("far", (F.col("n") > F.floor(scale * CAPS["skeleton"])) & (F.col("r") > near))
+    lines = x.where("not far").select("book", (-F.col("chapter")).cast("bigint").alias("ord"), F.col("line").alias("text"))
+    part = F.concat(strip_ws(F.when(F.col("s") != "", F.substring("s", 1, 24)).otherwise(F.coalesce("title", F.lit("")))), F.when(F.length("s") > 24, "…").otherwise(""))
+    g = x.where("far").groupBy("book", F.floor((F.col("chapter") - 1) / 50).alias("g")).agg(F.array_sort(F.collect_list(F.struct("chapter", part.alias("part")))).alias("x"))
+    told = F.array_join(F.col("x.part"), "、")
+    told = F.when(count_words(told) > 150, F.concat(F.substring(told, 1, 150), F.lit("…"))).otherwise(told)
+    text = F.concat(F.lit("第 "), F.col("g") * 50 + 1, F.lit("-"), (F.col("g") + 1) * 50, F.lit(" 章:"), told, F.lit("(章号 "), F.array_join(F.col("x.chapter").cast("array<string>"), ","), F.lit(")"))
+    return lines.unionByName(g.select("book", (-F.array_max("x.chapter")).cast("bigint").alias("ord"), text.alias("text")))
+
+
+#: Caps of the sections in characters; of the skeleton in words, beyond which it is condensed.
 CAPS = {"skeleton": 1600, "cast": 2200, "rules": 1200, "facts": 700, "threads": 1800}
 
 
 def context(analysis: DataFrame, characters: DataFrame, foreshadows: DataFrame, books: DataFrame) -> DataFrame:
-    """The context pack for the current chapter of every book: (book, section, ord, text), sections folded to the budget."""
+    """The context pack for the current chapter of every book: (book, section, ord, text), sections folded to the budget.
+
+    The summaries of the last three chapters are whole and have no cap; the skeleton is condensed, not folded away.
+    """
     now = books.groupBy("book").agg(F.max("current_chapter").alias("now")).where("now is not null")
-    a = ledger.current(analysis, "summary", "world_facts", "facts").join(now, "book").where("chapter < now")
-    skeleton = a.where("summary <> '' and (chapter >= now - 3 or chapter % 10 = 0)").select("book", F.lit("skeleton").alias("section"), (-F.col("chapter")).cast("bigint").alias("ord"), F.substring("summary", 1, 150).alias("text"))
+    a = ledger.current(analysis, "title", "summary", "world_facts", "facts").join(now, "book").where("chapter < now")
+    last = a.where("summary <> '' and chapter >= now - 3").select("book", F.lit("recent").alias("section"), (-F.col("chapter")).cast("bigint").alias("ord"), F.col("summary").alias("text"))
+    far = skeleton(a).select("book", F.lit("skeleton").alias("section"), "ord", "text")
     cast = ledger.latest_characters(characters).join(now, "book").where("deleted_at is null and (role in ('protagonist', 'major') or last_chapter >= now - 5)")
     n = F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("999999999")).cast("bigint")
     cast = cast.select("book", F.lit("cast").alias("section"), n.alias("ord"), F.concat_ws(" ", "id", "name", "role").alias("text"))
     world = a.select("book", F.lit("rules").alias("section"), "chapter", F.posexplode("world_facts").alias("pos", "x")).select("book", "section", (F.col("chapter") * 100 + F.col("pos")).cast("bigint").alias("ord"), F.col("x.rule").alias("text"))
     facts = a.select("book", F.lit("facts").alias("section"), "chapter", F.posexplode("facts").alias("pos", "x")).select("book", "section", (-(F.col("chapter") * 100 + F.col("pos"))).cast("bigint").alias("ord"), F.concat_ws("=", "x.name", "x.value").alias("text"))
     th = ledger.thread_buckets(foreshadows, books).where("bucket <> 'later'").select("book", F.lit("threads").alias("section"), F.row_number().over(Window.partitionBy("book").orderBy("bucket", "rank")).cast("bigint").alias("ord"), F.concat_ws(" ", "bucket", "id").alias("text"))
-    rows = skeleton.unionByName(cast).unionByName(world).unionByName(facts).unionByName(th).where("text <> ''").join(now, "book")
-    return folded(rows, CAPS, F.greatest(F.lit(0.3), budget(F.col("now")) / 8000)).select("book", "section", "ord", "text", "used")
+    rows = last.unionByName(far).unionByName(cast).unionByName(world).unionByName(facts).unionByName(th).where("text <> ''").join(now, "book")
+    return folded(rows, {k: v for k, v in CAPS.items() if k != "skeleton"}, F.greatest(F.lit(0.3), budget(F.col("now")) / 8000)).select("book", "section", "ord", "text", "used")
 
 
 def next_action(books: DataFrame, documents: DataFrame, analysis: DataFrame) -> DataFrame:

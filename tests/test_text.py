@@ -255,6 +255,23 @@ def test_related_chapters_of_four_kinds(spark, rows):
     assert rows(got, "chapter", "reasons") == sorted([(10, "absent:C-1"), (7, "thread:F-1"), (4, "item:铜钥匙"), (1, "setup:" + setup[1])], key=repr)
 
 
+def test_context_keeps_recent_summaries_and_condenses_far_ones(spark):
+    at = "timestamp'2024-01-01'"
+    none = "array(cast(null as struct<rule: string, name: string, value: string>)) as"
+    a = spark.range(1, 301).selectExpr("id as analysis_id", "'B' as book", "cast(id as int) as chapter", f"{at} as submitted_at", "concat('题', id) as title", "concat(id, repeat('叙', 400)) as summary", f"{none} world_facts", f"{none} facts")
+    a = a.unionByName(a.where("chapter <= 21").withColumn("book", F.lit("S")))
+    books = spark.sql("select 'B' as book, 301 as current_chapter union all select 'S', 22")
+    th = spark.sql(f"select book, 'F-1' as id, '' as title, '' as fp, 'paid' as status, 1 as tier, '' as scope, false as cross_volume, 1 as min_payoff_spacing, 1 as planned_chapter, 1 as planted_chapter, 9 as deadline_chapter, 1 as last_touched, {at} as created_at, cast(null as timestamp) as deleted_at from values ('B') t(book)")
+    ch = spark.sql(f"select 'B' as book, 'C-1' as id, '甲' as name, 'major' as role, map('a', 'b') as state, '' as relationships, 1 as first_chapter, 1 as last_chapter, {at} as updated_at, cast(null as timestamp) as deleted_at")
+    got = lookup.context(a, ch, th, books).collect()
+    pick = lambda b, s: [r["text"] for r in sorted((r for r in got if r["book"] == b and r["section"] == s), key=lambda r: r["ord"])]
+    assert pick("B", "recent") == [f"{i}" + "叙" * 400 for i in (300, 299, 298)]
+    sk = pick("B", "skeleton")
+    assert [t[:9] for t in sk[:10]] == [f"第 {i} 章《题" for i in range(300, 200, -10)] and sk[0] == "第 300 章《题300》:300" + "叙" * 117 + "…"
+    assert len(sk) == 14 and sk[10].startswith("第 151-200 章:160叙") and sk[13].endswith("(章号 10,20,30,40,50)") and sk[13].count("、") == 4
+    assert pick("S", "skeleton") == ["第 20 章《题20》:20" + "叙" * 118 + "…", "第 10 章《题10》:10" + "叙" * 118 + "…"]
+
+
 def test_folding(spark, rows):
     from pyspark.sql import functions as F
 
