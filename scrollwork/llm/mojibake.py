@@ -133,7 +133,7 @@ class Detector:
         self.base = math.log(self.total)
         self.logp = {g: math.log(n) - self.base for g, n in grams.items() if len(g) == 1}
         self.never = math.log(0.5) - self.base
-        least = max(3, self.total * 2e-8)
+        least = 3  # the same for every size of corpus: rarer characters are noise, the weights tell the rest
         known = [c for c in self.logp if c > "\x7f" and grams[c] >= least and not HOPELESS.match(c)]
         self.pairs: list[tuple[str, str, str]] = []
         found: dict[str, list[tuple[int, float, str | None]]] = defaultdict(list)

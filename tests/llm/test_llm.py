@@ -232,6 +232,12 @@ def test_only_the_span_is_replaced(spark, corpus):
     assert [(r["doc_id"], r["restored"], r["n_lost"]) for r in got] == [(len(corpus), f"{ZH}没有人应声{FR}", 0)]
 
 
+def test_rare_characters_of_a_large_corpus():
+    d = mojibake.Detector({"a": 2_000_000_000, "é": 50_000_000, "守": 30})
+    assert [(s.restored, s.pair) for s in d.spans("a " + wrong("守", "utf-8", "latin-1") + " a")][-1:] == [("守", "utf-8>latin-1")]
+    assert d.spans("aéa 守") == []
+
+
 @pytest.mark.parametrize("before,word,after", [("«", "карту", "»"), ("他说", "гонец", "，"), ("—", "спрятал", "…"), ("", "КАРТУ", "!"), ("x ", "карту на столе в", " y"), ("", "гонец—спрятал", ""), ("", "спряталкартубезподписи" * 4, "")])
 @pytest.mark.parametrize("true,read", [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "cp866")])
 def test_cyrillic_words_in_any_place(before, word, after, true, read):
