@@ -31,23 +31,31 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: str, out: str, bloc
     return inner.join(h, cond, "left").select(*cols, F.coalesce("_nx", "_after").alias(out))
 
 
-def coalesce_intervals(df: DataFrame, keys: Sequence[str], value: str, start: str, end: str, block: int = 256) -> DataFrame:
+def coalesce_intervals(df: DataFrame, keys: Sequence[str], value: str, start: str, end: str, block: int = 256, before: str | None = None) -> DataFrame:
     """Join touching intervals of the same value: rows (keys, value, start, end), end null where open.
 
     An interval is continued by the one whose start equals its end and whose value is the same.
-    Within a group starts are unique. First each block of starts is coalesced by itself; only the
-    outermost interval at either edge of a block takes part in the second pass.
+    Within a group starts are unique and no value is null. Each block of starts is coalesced by itself, in
+    one sorted pass; only what may go on beyond the edges of its block takes part in a second one. `before`
+    names a column with the start of the interval that could be continued, so that whatever begins in the
+    block it stands in is left out of the second pass.
     """
-    w = Window.partitionBy(*keys, "_blk").orderBy(start)
-
-    def merge(x: DataFrame, order: Window, by: list[str]) -> DataFrame:
-        fresh = F.when((F.lag(end).over(order) == F.col(start)) & (F.lag(value).over(order).eqNullSafe(F.col(value))), 0).otherwise(1)
-        x = x.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return x.groupBy(*by, "_island").agg(F.first(value).alias(value), F.min(start).alias(start), F.max_by(F.struct(F.col(end).alias("e")), F.col(start)).alias("_e")).withColumn(end, F.col("_e.e")).drop("_e")
-
-    blocked = merge(df.select(*keys, value, start, end).withColumn("_blk", F.floor(F.col(start) / F.lit(block))), w, [*keys, "_blk"])
-    edge = Window.partitionBy(*keys, "_blk")
-    marked = blocked.withColumn("_edge", (F.col("_island") == 1) | (F.col("_island") == F.max("_island").over(edge)))
-    inside = marked.where(~F.col("_edge")).select(*keys, value, start, end)
-    across = merge(marked.where("_edge").select(*keys, value, start, end), Window.partitionBy(*keys).orderBy(start), list(keys))
-    return inside.unionByName(across.select(*keys, value, start, end))
+    on = [*keys, "_blk"]
+    w = Window.partitionBy(*on).orderBy(start)
+    x = df.select(*keys, value, start, end, *([before] if before else [])).withColumn("_blk", F.floor(F.col(start) / F.lit(block)))
+
+    def ends(x: DataFrame, w: Window) -> DataFrame:
+        """The first and last intervals of every run."""
+        goes_on = (F.lag(end).over(w) == F.col(start)) & (F.lag(value).over(w) == F.col(value))
+        gone_on = (F.lead(start).over(w) == F.col(end)) & (F.lead(value).over(w) == F.col(value))
+        return x.withColumn("_first", ~F.coalesce(goes_on, F.lit(False))).withColumn("_last", ~F.coalesce(gone_on, F.lit(False))).where("_first or _last")
+
+    def joined(x: DataFrame, w: Window) -> DataFrame:
+        return x.withColumn("_end", F.when(F.col("_last"), F.col(end)).otherwise(F.lead(end).over(w))).where("_first")
+
+    left = (F.lag(start).over(w).isNull()) if before is None else (F.floor(F.col(before) / F.lit(block)) < F.col("_blk"))
+    x = joined(ends(x.withColumn("_left", F.coalesce(left, F.lit(False))), w), w)
+    x = x.select(*keys, value, start, F.col("_end").alias(end), (F.col("_left") | F.coalesce(F.floor(F.col("_end") / F.lit(block)) > F.col("_blk"), F.lit(False))).alias("_across"))
+    by = Window.partitionBy(*keys).orderBy(start)
+    across = joined(ends(x.where("_across").select(*keys, value, start, end), by), by).select(*keys, value, start, F.col("_end").alias(end))
+    return x.where("not _across").select(*keys, value, start, end).unionByName(across)
