@@ -55,7 +55,8 @@ def coalesce_intervals(df: DataFrame, keys: Sequence[str], value: str, start: st
 
     left = (F.lag(start).over(w).isNull()) if before is None else (F.floor(F.col(before) / F.lit(block)) < F.col("_blk"))
     x = joined(ends(x.withColumn("_left", F.coalesce(left, F.lit(False))), w), w)
-    x = x.select(*keys, value, start, F.col("_end").alias(end), (F.col("_left") | F.coalesce(F.floor(F.col("_end") / F.lit(block)) > F.col("_blk"), F.lit(False))).alias("_across"))
-    by = Window.partitionBy(*keys).orderBy(start)
-    across = joined(ends(x.where("_across").select(*keys, value, start, end), by), by).select(*keys, value, start, F.col("_end").alias(end))
-    return x.where("not _across").select(*keys, value, start, end).unionByName(across)
+    across = F.col("_left") | F.coalesce(F.floor(F.col("_end") / F.lit(block)) > F.col("_blk"), F.lit(False))
+    # What is whole stays with its block, where nothing continues it: a single flow, so that nothing before is computed twice.
+    x = x.select(*keys, value, start, F.col("_end").alias(end), F.when(~across, F.col("_blk")).alias("_part"))
+    by = Window.partitionBy(*keys, "_part").orderBy(start)
+    return joined(ends(x, by), by).select(*keys, value, start, F.col("_end").alias(end))
