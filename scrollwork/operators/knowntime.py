@@ -73,79 +73,86 @@ class PersistentTree:
         return self.payload[best] if best else None
 
 
-def _found(ent: list[str], ids: list[int], pay: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"entity": pd.Series(ent, dtype=object), "event_id": pd.Series(ids, dtype="int64"), "payload": pd.Series(pay, dtype="int64")})
+_HIT = {"entity": object, "event_id": "int64", "payload": "int64", "valid": "int64", "known": "int64"}
 
 
 def _search_shard(key: tuple, facts: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-    if not len(facts) or not len(events):
-        return _found([], [], [])
-    by: dict[str, list] = {}
-    facts = facts.sort_values(["known", "payload"], kind="stable")
-    for e, k, v, p in zip(facts["entity"].tolist(), facts["known"].tolist(), facts["valid"].tolist(), facts["payload"].tolist()):
-        by.setdefault(e, []).append((k, v, p))
-    trees: dict[str, PersistentTree] = {}
-    ent, ids, pay = [], [], []
-    for e, i, k, v in zip(events["entity"].tolist(), events["event_id"].tolist(), events["known"].tolist(), events["valid"].tolist()):
-        rows = by.get(e)
-        if rows is None:
-            continue
-        t = trees.get(e)
-        if t is None:
-            t = trees[e] = PersistentTree(sorted({r[1] for r in rows}))
-            for r in rows:
-                t.insert(*r)
-        p = t.search(k, v)
-        if p is not None:
-            ent.append(e)
-            ids.append(i)
-            pay.append(p)
-    return _found(ent, ids, pay)
+    out: list[tuple] = []
+    if len(facts) and len(events):
+        by: dict[str, list] = {}
+        facts = facts.sort_values(["known", "payload"], kind="stable")
+        for e, *row in zip(facts["entity"].tolist(), facts["known"].tolist(), facts["valid"].tolist(), facts["payload"].tolist()):
+            by.setdefault(e, []).append(row)
+        trees: dict[str, PersistentTree] = {}
+        for e, i, k, v in zip(events["entity"].tolist(), events["event_id"].tolist(), events["known"].tolist(), events["valid"].tolist()):
+            rows = by.get(e)
+            if rows is None:
+                continue
+            t = trees.get(e)
+            if t is None:
+                t = trees[e] = PersistentTree(sorted({r[1] for r in rows}))
+                for n, r in enumerate(rows):
+                    t.insert(r[0], r[1], n)
+            n = t.search(k, v)
+            if n is not None:
+                out.append((e, i, rows[n][2], rows[n][1], rows[n][0]))
+    cols = zip(*out) if out else ([] for _ in _HIT)
+    return pd.DataFrame({c: pd.Series(x, dtype=d) for (c, d), x in zip(_HIT.items(), cols)})
+
+
+def _searched(facts: DataFrame, events: DataFrame, shards: int) -> DataFrame:
+    """(entity, event_id, payload, valid, known) of what the shards' trees find; both sides have `shard`."""
+    # A stated number of partitions: by their few bytes the shards would be put together into one task.
+    f = facts.select("shard", "entity", "valid", "known", "payload").repartition(shards, "shard")
+    e = events.select("shard", "entity", "event_id", "valid", "known").repartition(shards, "shard")
+    return f.groupBy("shard").cogroup(e.groupBy("shard")).applyInPandas(_search_shard, "entity string, event_id long, payload long, valid long, known long")
 
 
 def as_known(facts: DataFrame, events: DataFrame, rows_per_shard: int = 60_000, largest: int = 400_000) -> DataFrame:
     """For each event the payload of the entity's fact with the greatest valid time below the event's,
     among the facts known not after the event; of several at that valid time the one known last.
 
-    facts: (entity STRING, valid INT, known BIGINT, payload BIGINT); events: (entity, event_id, valid, known).
-    Returns (entity, event_id, payload); events without such a fact have no row; rows with nulls in
-    these columns take no part. Entities share shards of about `rows_per_shard` rows. An entity with
-    more than `largest` facts is cut by valid time into ranges, each with its own tree, and its events go to
-    the ranges at and below their time; one with more events than `rows_per_shard` gets several shards,
-    each with the entity's tree. So no task holds an unbounded entity.
+    facts: (entity STRING, valid INT, known BIGINT, payload BIGINT); events: (entity, event_id, valid, known),
+    where (entity, event_id) names an event. Returns (entity, event_id, payload); events without such a fact
+    have no row; rows with nulls in these columns take no part.
+
+    There are as many shards as give each about `rows_per_shard` rows, and entities share them. An entity
+    with more than `largest` facts is cut, in order of valid and known time, into ranges of like size with
+    a tree each. An event goes to the range just below its valid time and to the highest range under
+    that which had a fact by then; which one that is, the same search over the ranges' earliest known times
+    tells, so that no event goes to more than two. An entity with more events than `rows_per_shard` gets several
+    shards, each with its trees. So no task holds an unbounded entity.
     """
     facts = facts.select("entity", "valid", "known", "payload").dropna()
     events = events.select("entity", "event_id", "valid", "known").dropna()
-    n_f = facts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_f"), F.min("valid").alias("v0"), F.max("valid").alias("v1"))
+    n_f = facts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_f"), F.min("known").alias("k0"), F.max("known").alias("k1"))
     n_e = events.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    sized = n_f.join(n_e, "entity").select(
-        "entity", "v0",
-        F.ceil(F.col("n_e") / F.lit(rows_per_shard)).cast("int").alias("copies"),
-        F.ceil(F.col("n_f") / F.lit(largest)).cast("int").alias("cuts"),
-        F.col("v1"),
-    )
-    special = sized.where("copies > 1 or cuts > 1").select("entity", "copies", "cuts", "v0", F.greatest(F.lit(1), F.ceil((F.col("v1") - F.col("v0") + 1) / F.col("cuts"))).alias("span"))
-    shards = max(16, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
-    small = F.pmod(F.xxhash64("entity"), F.lit(shards))
-    f = facts.join(special, "entity", "left").withColumn("cut", F.when(F.col("span").isNull(), 0).otherwise(F.floor((F.col("valid") - F.col("v0")) / F.col("span"))))
+    sized = n_f.join(n_e, "entity").withColumns({"copies": F.ceil(F.col("n_e") / F.lit(rows_per_shard)).cast("int"), "cuts": F.ceil(F.col("n_f") / F.lit(largest)).cast("int")})
+    rows, copies, cuts = sized.agg(F.coalesce(F.sum(F.col("n_f") * F.col("copies") + F.col("n_e")), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0)), F.coalesce(F.max("cuts"), F.lit(0))).first()
+    shards = max(2 * facts.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_shard))
+    if copies <= 1 and cuts <= 1:
+        shard = F.pmod(F.xxhash64("entity"), F.lit(shards))
+        return _searched(facts.withColumn("shard", shard), events.withColumn("shard", shard), shards).select("entity", "event_id", "payload")
+
+    special = sized.where("copies > 1 or cuts > 1").select("entity", "copies", "cuts", "k0", "k1")
+    place = F.col("valid") + (F.col("known") - F.col("k0")) / (F.col("k1") - F.col("k0") + 1)
+    ranges = [i / cuts for i in range(1, cuts)] or [0.5]
+    bounds = facts.join(special.where("cuts > 1"), "entity").groupBy("entity").agg(F.array_distinct(F.percentile_approx(place, F.array(*map(F.lit, ranges)), F.lit(max(10_000, 20 * cuts)))).alias("bounds"))
+    special = special.join(bounds, "entity", "left")
+    f = facts.join(special, "entity", "left").withColumn("cut", F.coalesce(F.size(F.filter("bounds", lambda b: b <= place)), F.lit(0)))
+    e = events.join(special, "entity", "left").withColumn("cut", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("valid"))), F.lit(0)))
+    if cuts > 1:
+        firsts = f.where("cuts > 1").groupBy("entity", "cut").agg(F.min("known").alias("known")).select("entity", F.col("cut").alias("valid"), "known", F.col("cut").cast("bigint").alias("payload"))
+        hot = e.where("cuts > 1")
+        under = as_known(firsts, hot.select("entity", "event_id", F.col("cut").alias("valid"), "known"), rows_per_shard, largest).select("entity", "event_id", F.col("payload").cast("int").alias("cut"))
+        e = e.unionByName(hot.drop("cut").join(under, ["entity", "event_id"]))
+    part = F.pmod(F.xxhash64("event_id"), F.col("copies")).cast("int")
     f = f.withColumn("copy", F.explode(F.when(F.col("copies").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))))
-    top = F.least(F.col("cuts") - 1, F.floor((F.col("valid") - F.col("v0")) / F.col("span")).cast("int"))
-    e = events.join(special, "entity", "left").withColumn("copy", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("event_id"), F.col("copies"))))
-    e = e.where("span is null or valid > v0").withColumn("cut", F.explode(F.when(F.col("span").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), top))))
-    # A cut or copied entity has shards of its own: the two further parts are zero for all others.
-    def key(x: DataFrame) -> DataFrame:
-        return x.withColumn("shard", F.when(F.col("span").isNull(), small).otherwise(F.xxhash64("entity", F.col("cut").cast("long"), F.col("copy").cast("long"))))
-
-    f, e = key(f).select("shard", "entity", "valid", "known", "payload"), key(e).select("shard", "entity", "event_id", "valid", "known")
-    # A stated number of partitions: by their few bytes the shards would be put together into one task.
-    f, e = f.repartition(shards, "shard"), e.repartition(shards, "shard")
-    hits = f.groupBy("shard").cogroup(e.groupBy("shard")).applyInPandas(_search_shard, "entity string, event_id long, payload long")
-    # Of several ranges the highest that has an answer counts; payloads of one entity are told apart by their valid time.
-    many = facts.join(special.where("cuts > 1").select("entity"), "entity", "left_semi").select("entity", "payload", "valid", "known")
-    if not many.take(1):
-        return hits
-    ranked = hits.join(many, ["entity", "payload"], "left")
-    return ranked.groupBy("entity", "event_id").agg(F.max_by("payload", F.struct("valid", "known", "payload")).alias("payload"))
+    e = e.withColumn("copy", F.coalesce(part, F.lit(0)))
+    # A cut or copied entity has shards of its own, named by the whole hash.
+    shard = F.when(F.col("copies").isNull(), F.pmod(F.xxhash64("entity"), F.lit(shards))).otherwise(F.xxhash64("entity", F.col("cut").cast("long"), F.col("copy").cast("long")))
+    hits = _searched(f.withColumn("shard", shard), e.withColumn("shard", shard), shards)
+    return hits.groupBy("entity", "event_id").agg(F.max_by("payload", F.struct("valid", "known", "payload")).alias("payload"))
 
 
 def mentions(analysis: DataFrame, characters: DataFrame, salts: int = 8) -> DataFrame:
