@@ -1,9 +1,11 @@
 """Variant spellings of names.
 
-The names of a book are shards of tries, each key in every order of its parts. A spelling is
-brought to a plain form and looked up: as a whole, as a derived form (title, initial, nickname,
-part of a name), and last by a walk through the trie with a Levenshtein automaton that counts a
-swap of neighbours as one edit. The best kind of evidence counts, and only if it names one person.
+The names of a book are shards of tries. All forms of a name are keys: names and aliases as they
+stand, the parts of names, and derived forms (titles, initials, nicknames). Every spelling is brought to a
+plain form and walked through the trie with a Levenshtein automaton that counts a swap of neighbours as one
+edit; names and aliases count up to a distance that grows with their length, derived forms only when met
+exactly. What the walks of a spelling's parts find is then checked for an order of the parts that makes them a name.
+The best kind of evidence counts, and only if it names one person.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import re
 import unicodedata
 from collections import defaultdict
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,9 +80,6 @@ class Person:
         p = self.whole
         put(" ".join(p), 1)
         put("".join(p), 1)
-        if 1 < len(p) <= 4:
-            for q in permutations(p):
-                put(" ".join(q), 2)
         if not self.last:
             return out
         f, n = self.first, self.last
@@ -135,31 +133,43 @@ class Person:
 
 
 class Trie:
-    """Keys with the ids they belong to; a node is (children, ids)."""
+    """Keys with what belongs to them. A node is a dict of its children; at 0 it has what ends there as (what, near), at 1
+    whether a key below it may be met at a distance."""
 
     def __init__(self) -> None:
-        self.root: tuple[dict, set] = ({}, set())
+        self.root: dict = {}
 
-    def add(self, key: str, who: str) -> None:
+    def add(self, key: str, what: object, near: bool = True) -> None:
+        """`near`: whether the key counts at a distance too."""
         node = self.root
         for ch in key:
-            node = node[0].setdefault(ch, ({}, set()))
-        node[1].add(who)
-
-    def near(self, word: str, bound: int) -> dict[str, int]:
-        """id -> least distance of its keys to `word`, up to `bound`: one walk of the automaton's states through the trie."""
+            if near:
+                node[1] = True
+            node = node.setdefault(ch, {})
+        if near:
+            node[1] = True
+        ends = node.setdefault(0, [])
+        if (what, near) not in ends:
+            ends.append((what, near))
+
+    def near(self, word: str, bound: int) -> dict[object, int]:
+        """what -> least distance of its keys to `word`, up to `bound`: one walk of the automaton's states through the trie."""
         n, found = len(word), {}
         far = bound + 1
         first = [i if i <= bound else far for i in range(n + 1)]
         stack = [(self.root, "", first, None, 0)]
         while stack:
-            (kids, ids), ch, row, before, depth = stack.pop()
-            if ids and row[n] <= bound:
-                for who in ids:
-                    if row[n] < found.get(who, far):
-                        found[who] = row[n]
-            for nxt, node in kids.items():
-                lo, hi = max(1, depth + 1 - bound), min(n, depth + 1 + bound)
+            node, ch, row, before, depth = stack.pop()
+            end = row[n]
+            if 0 in node and end <= bound:
+                for what, near in node[0]:
+                    if (near or not end) and end < found.get(what, far):
+                        found[what] = end
+            exact = word[depth] if depth < n and not row[depth] else None
+            lo, hi = max(1, depth + 1 - bound), min(n, depth + 1 + bound)
+            for nxt, below in node.items():
+                if nxt == 0 or nxt == 1 or (nxt != exact and 1 not in below):
+                    continue
                 new = [far] * (n + 1)
                 if depth + 1 <= bound:
                     new[0] = depth + 1
@@ -173,7 +183,7 @@ class Trie:
                         new[j] = v
                         live = True
                 if live:
-                    stack.append((node, nxt, new, row, depth + 1))
+                    stack.append((below, nxt, new, row, depth + 1))
         return found
 
 
@@ -211,33 +221,61 @@ def _sound_gap(a: str, b: str) -> int:
     return abs((x[0] - y[0]) * 94 + x[1] - y[1])
 
 
+def _untitled(s: str) -> str:
+    """A plain form without what may be a form of address; empty if it is nothing else."""
+    if _CJK.search(s):
+        for t in TITLES_AFTER:
+            if s.endswith(t):
+                return s[: -len(t)].rstrip(_EDGE)
+        return s
+    words = parts(s)
+    while words and words[0] in TITLES_BEFORE:
+        words.pop(0)
+    return " ".join(words)
+
+
+def _bound(word: str, cjk: bool) -> int:
+    """How many edits a word of its length allows."""
+    n = len(word)
+    return (0 if n < 2 else 1 if n < 6 else 2) if cjk else (0 if n < 3 else 1 if n < 7 else 2 if n < 12 else 3)
+
+
+def _squeezed(s: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", s)
+
+
+#: Kinds of evidence beside those of `Person.forms`: a part of a name, an alias.
+PART, ALIAS = 0, 2
+
+
 class Book:
     """The names of one book (or of a shard of them)."""
 
     def __init__(self, names: list[tuple[str, str]]):
-        self.forms: dict[str, dict[str, int]] = defaultdict(dict)
         self.trie = Trie()
         self.full: dict[str, set[str]] = defaultdict(set)
         self.accented: dict[str, set[str]] = defaultdict(set)
+        self.names: list[tuple[str, list[str]]] = []
         for who, name, main in names:
             p = Person(name)
             self.accented[who].add(self._accented(name))
+            whole = "".join(p.whole) if p.cjk else " ".join(p.whole)
             if main:
                 for form, kind in p.forms().items():
-                    if kind < self.forms[form].get(who, 9):
-                        self.forms[form][who] = kind
-                whole = "".join(p.whole) if p.cjk else " ".join(p.whole)
+                    self.trie.add(form, (who, kind, form), near=kind == 1 and form == whole and len(whole) > 1)
                 if len(whole) > 1:
                     self.full[who].add(whole)
-                    keys = {whole}
-                    if len(p.whole) in (2, 3):
-                        keys |= {("" if p.cjk else " ").join(q) for q in permutations(p.whole)}
-                    for k in keys:
-                        self.trie.add(k, who)
             else:
-                for form in {" ".join(p.whole), "".join(p.whole)}:
-                    if form and self.forms[form].get(who, 9) > 2:
-                        self.forms[form][who] = 2
+                base = _untitled(" ".join(p.whole))
+                base = base.replace(" ", "") if p.cjk else base
+                for form in {" ".join(p.whole), "".join(p.whole)} - {""}:
+                    self.trie.add(form, (who, ALIAS, form), near=form == base)
+                if base and base != whole:
+                    self.trie.add(base, (who, 9, base))
+            if len(p.whole) > 1:
+                self.names.append((who, p.whole))
+                for i, part in enumerate(p.whole):
+                    self.trie.add(part, (len(self.names) - 1, PART, i))
 
     def find(self, spelling: str) -> tuple[int, dict[str, bool]]:
         """(rank of the best evidence, the ids it names and whether each is the closer one); rank 99 if there is none.
@@ -245,73 +283,118 @@ class Book:
         Among several ids the closer one counts if it is the only one, see `linked`: that is decided over all tries.
         """
         got: dict[str, int] = {}
-        forms = readings(spelling)
-        for form, more in forms:
-            for who, kind in self.forms.get(form, {}).items():
-                got[who] = min(got.get(who, 99), kind * 10 + more)
-        if got:
-            best = min(got.values())
+
+        def put(who: str, rank: int) -> None:
+            if rank < got.get(who, 99):
+                got[who] = rank
+
+        s = plain(spelling)
+        cjk = bool(_CJK.search(s))
+        for form, more in dict.fromkeys(readings(spelling)):
+            bound = 0 if form.startswith("~") else _bound(form, cjk)
+            for (who, kind, key), dist in self.trie.near(form, bound).items():
+                if kind == PART:
+                    continue
+                if not dist:
+                    if kind < 9:
+                        put(who, kind * 10 + more)
+                elif form != key and self._alike(form, key, cjk, kind != 1):
+                    put(who, 60 + dist * 2 + more)
+            if " " in form and not form.startswith("~") and min(got.values(), default=99) > 20:
+                for who, dist, skipped in self._reordered(form.split(" "), bound, cjk):
+                    put(who, 60 + dist * 2 + more if dist else (50 if skipped else 20) + more)
+        if not got:
+            return 99, {}
+        best = min(got.values())
+        if best < 60:
             # Evidence of one kind names one person or nobody; accents decide between people who differ in them.
             own = self._accented(spelling)
             return best, {w: any(own in x for x in self.accented[w]) for w, k in got.items() if k // 10 == best // 10}
-        near: dict[str, int] = {}
-        cjk = bool(_CJK.search(plain(spelling)))
-        for form, more in forms:
-            if form.startswith("~"):
+        word = "".join(parts(s))
+        return best, {w: cjk and self._sounds_like(word, w) for w, k in got.items() if k // 2 == best // 2}
+
+    def _reordered(self, words: list[str], bound: int, cjk: bool) -> list[tuple[str, int, bool]]:
+        """(who, distance, whether the words have a particle more) of the names that have the words as parts in some
+        order; particles may be missing on either side."""
+        met: dict[int, dict[int, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
+        for i, w in enumerate(words):
+            for (name, kind, part), dist in self.trie.near(w, min(bound, _bound(w, cjk))).items():
+                if kind == PART and (not dist or self._alike(w, self.names[name][1][part], cjk, False)):
+                    met[name][i][part] = dist
+        out = []
+        for name, ways in met.items():
+            who, whole = self.names[name]
+            need = [i for i, w in enumerate(words) if w not in PARTICLES or i in ways]
+            if any(i not in ways for i in need):
                 continue
-            word = form.replace(" ", "") if cjk else form
-            if len(word) < (2 if cjk else 5):
-                continue
-            bound = (1 if len(word) < 6 else 2) if cjk else (1 if len(word) < 7 else 2 if len(word) < 12 else 3)
-            for who, dist in self.trie.near(word, bound).items():
-                if cjk and not self._plausible(word, who):
+            best, skipped = bound + 1, False
+            stack = [(0, 0, frozenset())]
+            while stack:
+                k, dist, used = stack.pop()
+                if dist >= best:
                     continue
-                near[who] = min(near.get(who, 99), dist * 2 + more)
-        if not near:
-            return 99, {}
-        best = min(near.values())
-        word = "".join(parts(plain(spelling)))
-        return 60 + best, {w: cjk and self._sounds_like(word, w) for w, k in near.items() if k // 2 == best // 2}
+                if k == len(need):
+                    if len(used) > 1 and all(p in used or x in PARTICLES for p, x in enumerate(whole)):
+                        best, skipped = dist, len(used) < len(words)
+                    continue
+                if words[need[k]] in PARTICLES:
+                    stack.append((k + 1, dist, used))
+                stack += [(k + 1, dist + d, used | {p}) for p, d in ways[need[k]].items() if p not in used]
+            if best <= bound:
+                out.append((who, best, skipped))
+        return out
+
+    @staticmethod
+    def _alike(word: str, key: str, cjk: bool, alias: bool) -> bool:
+        """Whether a word at a distance from a key may be meant as it; short ones need more than a small distance."""
+        if sorted(word) == sorted(key):
+            return True
+        if not cjk:
+            return min(len(word), len(key)) > 4 or _squeezed(word) == _squeezed(key)
+        if len(key) > 3:
+            return True
+        if alias:
+            return _near_sound(word, key)
+        # A short Chinese name keeps its family name or all of its given name's characters.
+        return key[0] == word[0] or (len(key) == 3 and key[1:] == word[1:])
 
     @staticmethod
     def _accented(name: str) -> str:
         return normal_form(name)[0].casefold().strip(_EDGE)
 
-    def _plausible(self, word: str, who: str) -> bool:
-        """A short Chinese name keeps its family name or all of its given name's characters."""
-        for full in self.full[who]:
-            if len(full) > 3 or full[0] == word[0] or (len(full) == 3 and full[1:] == word[1:]) or sorted(full) == sorted(word):
-                return True
-        return False
-
     def _sounds_like(self, word: str, who: str) -> bool:
-        return any(len(word) == len(full) and max((_sound_gap(a, b) for a, b in zip(word, full) if a != b), default=0) <= 25 for full in self.full[who])
+        return any(_near_sound(word, full) for full in self.full[who])
+
+
+def _near_sound(a: str, b: str) -> bool:
+    return len(a) == len(b) and max((_sound_gap(x, y) for x, y in zip(a, b) if x != y), default=0) <= 25
 
 
 def _match_shard(key: tuple, names: pd.DataFrame, spellings: pd.DataFrame) -> pd.DataFrame:
     cols: dict[str, list] = {"book": [], "spelling": [], "rank": [], "character_id": [], "closer": []}
     if len(names) and len(spellings):
-        by: dict[str, list] = defaultdict(list)
+        by, asked = defaultdict(list), defaultdict(list)
         for b, w, n, main in zip(names["book"], names["id"], names["name"], names["main"]):
             by[b].append((w, n, main))
-        books: dict[str, Book] = {}
         for b, s in zip(spellings["book"], spellings["spelling"]):
+            asked[b].append(s)
+        for b, some in asked.items():
             if b not in by:
                 continue
-            if b not in books:
-                books[b] = Book(by[b])
-            rank, ids = books[b].find(s)
-            # Two are enough to know that it isn't one, of the closer ones as of all.
-            for who in sorted(ids, key=lambda w: (not ids[w], w))[:2]:
-                cols["book"].append(b)
-                cols["spelling"].append(s)
-                cols["rank"].append(rank)
-                cols["character_id"].append(who)
-                cols["closer"].append(ids[who])
+            book = Book(by[b])  # one at a time, whatever the number of books in the shard
+            for s in some:
+                rank, ids = book.find(s)
+                # Two are enough to know that it isn't one, of the closer ones as of all.
+                for who in sorted(ids, key=lambda w: (not ids[w], w))[:2]:
+                    cols["book"].append(b)
+                    cols["spelling"].append(s)
+                    cols["rank"].append(rank)
+                    cols["character_id"].append(who)
+                    cols["closer"].append(ids[who])
     return pd.DataFrame({k: pd.Series(v, dtype={"rank": "int32", "closer": "bool"}.get(k, object)) for k, v in cols.items()})
 
 
-def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_000, spellings_per_task: int = 2_000) -> DataFrame:
+def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 2_000, spellings_per_task: int = 2_000) -> DataFrame:
     """Rows (book, spelling, character_id) for the spellings that mean one character of their book.
 
     spellings: (book, spelling); those equal to a name or alias of the book, null and blank ones have
@@ -324,10 +407,13 @@ def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 5_
         F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("n"), F.lit(False).alias("main"))),
     )).alias("x")).select("book", "id", F.col("x.n").alias("name"), F.col("x.main").alias("main")).where("name is not null and id is not null").distinct()
     asked = spellings.select("book", "spelling").where("spelling <> ''").distinct().join(listed.select("book", F.col("name").alias("spelling")), ["book", "spelling"], "left_anti")
-    shards = max(16, int(characters.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
     n_n = listed.groupBy("book").agg(F.count(F.lit(1)).alias("n_n"))
     n_s = asked.groupBy("book").agg(F.count(F.lit(1)).alias("n_s"))
-    big = n_n.join(n_s, "book").select("book", F.ceil(F.col("n_n") / names_per_trie).cast("int").alias("tries"), F.ceil(F.col("n_s") / spellings_per_task).cast("int").alias("tasks")).where("tries > 1 or tasks > 1")
+    sized = n_n.join(n_s, "book").select("book", F.ceil(F.col("n_n") / names_per_trie).cast("int").alias("tries"), F.ceil(F.col("n_s") / spellings_per_task).cast("int").alias("tasks"), "n_n", "n_s")
+    big = sized.where("tries > 1 or tasks > 1").select("book", "tries", "tasks")
+    # A shard has about as many names and spellings as a trie and a task may have, whatever the number of books.
+    names_, words_ = sized.agg(F.coalesce(F.sum(F.col("n_n") * F.col("tasks")), F.lit(0)), F.coalesce(F.sum(F.col("n_s") * F.col("tries")), F.lit(0))).first()
+    shards = max(2 * characters.sparkSession.sparkContext.defaultParallelism, -(-names_ // names_per_trie), -(-words_ // spellings_per_task))
     numbers = lambda c: F.when(F.col(c).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(c) - 1))
     names = listed.join(big, "book", "left").withColumn("trie", F.when(F.col("tries").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("tries")))).withColumn("task", F.explode(numbers("tasks")))
     words = asked.join(big, "book", "left").withColumn("task", F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64("spelling"), F.col("tasks")))).withColumn("trie", F.explode(numbers("tries")))
