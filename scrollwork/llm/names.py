@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrollwork.llm.confusables import normal_form
+from scrollwork.llm.confusables import install, normal_form, public_table
 
 #: Two-character family names.
 DOUBLE_NAMES = frozenset("南荣 澹台 东郭 梁丘 漆雕 公羊 即墨 百里 闾丘 羊舌 欧阳 司马 上官 诸葛 夏侯 皇甫 尉迟 公孙 慕容 令狐 钟离 宇文 长孙 司徒 司空 公冶 端木 申屠 轩辕 太史 东方 独孤 南宫 西门 呼延 赫连 濮阳 淳于 单于 万俟 闻人 公西 左丘 谷梁 拓跋 乐正 宗政".split())
@@ -370,7 +370,7 @@ def _near_sound(a: str, b: str) -> bool:
     return len(a) == len(b) and max((_sound_gap(x, y) for x, y in zip(a, b) if x != y), default=0) <= 25
 
 
-def _match_shard(key: tuple, names: pd.DataFrame, spellings: pd.DataFrame) -> pd.DataFrame:
+def _match_shard(names: pd.DataFrame, spellings: pd.DataFrame) -> pd.DataFrame:
     cols: dict[str, list] = {"book": [], "spelling": [], "rank": [], "character_id": [], "closer": []}
     if len(names) and len(spellings):
         by, asked = defaultdict(list), defaultdict(list)
@@ -422,7 +422,13 @@ def linked(spellings: DataFrame, characters: DataFrame, names_per_trie: int = 2_
     words = words.select(shard.alias("shard"), "book", "spelling")
     # A stated number of partitions: by their few bytes the shards would be put together into one task.
     names, words = names.repartition(shards, "shard"), words.repartition(shards, "shard")
-    finds = names.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_match_shard, "book string, spelling string, rank int, character_id string, closer boolean")
+    public = public_table(characters.sparkSession)
+
+    def run(key: tuple, names: pd.DataFrame, spellings: pd.DataFrame) -> pd.DataFrame:
+        install(public)
+        return _match_shard(names, spellings)
+
+    finds = names.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(run, "book string, spelling string, rank int, character_id string, closer boolean")
     # Ranks of one kind of evidence (tens, from 60 on pairs) are equal.
     kind = F.when(F.col("rank") < 60, F.floor(F.col("rank") / 10)).otherwise(60 + F.floor((F.col("rank") - 60) / 2))
     best = finds.withColumn("kind", kind).groupBy("book", "spelling").agg(F.min("kind").alias("_k"), F.collect_set(F.struct("kind", "character_id", "closer")).alias("_all"))

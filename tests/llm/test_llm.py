@@ -30,6 +30,22 @@ def test_similar_records(spark, rows, per_task):
     assert rows(setjoin.similar_sets(sets, 3, 5, per_task)) == sorted(close, key=repr)
 
 
+@pytest.mark.parametrize("per_part", [1_000, 3])
+def test_similar_records_of_two_tables_and_hot_classes(spark, rows, per_part):
+    rnd = random.Random(9)
+    one = [(i, sorted(rnd.sample("abcdef", rnd.randint(1, 4)))) for i in range(30)] + [(100 + i, ["hot", "x", "y"]) for i in range(8)]
+    two = [(i, sorted(rnd.sample("abcdef", rnd.randint(1, 4)))) for i in range(20)] + [(50 + i, ["hot", "x", "y", "z"]) for i in range(7)] + [(90, None), (91, [])]
+    a, b = (spark.createDataFrame(x, "id long, vals array<string>") for x in (one, two))
+    close = lambda x, y: bool(x and y) and 5 * len(set(x) & set(y)) >= 3 * len(set(x) | set(y))
+    assert rows(setjoin.similar_records(a, other=b, per_part=per_part)) == sorted([(i, j) for i, x in one for j, y in two if close(x, y)], key=repr)
+    both = [(i, x) for i, x in one] + [(1000 + i, y) for i, y in two]
+    c = spark.createDataFrame(both, "id long, vals array<string>")
+    pairs = [(i, j) for i, x in both for j, y in both if i < j and close(x, y)]
+    assert rows(setjoin.similar_records(c, per_part=per_part)) == sorted(pairs, key=repr)
+    links = {r["id"]: (r["sid"], r["n_links"]) for r in setjoin.similar_links(c).collect()}
+    assert links == {i: (min(j for j, y in both if y == x), sum(i in p for p in pairs)) for i, x in both if x}
+
+
 def test_pieces_and_empty_table(spark, rows):
     df = spark.createDataFrame([(1, "甲乙-丙／甲乙、a|bc"), (2, ""), (3, None)], "id long, t string")
     got = df.select("id", setjoin.pieces(F.col("t"), r"\-／、|", 2).alias("v"))
@@ -88,6 +104,31 @@ def test_ties_are_broken_over_all_tries(spark, rows):
     assert rows(names.linked(asked, names_, names_per_trie=1)) == want
 
 
+@pytest.mark.parametrize("name,alias,typed", [
+    ("Juan Carlos Maria Lopez Ruiz", None, "Lopez Ruiz Juan Carlos Maria"), ("Juan Carlos Maria Lopez Ruiz", None, "Lopez Riuz Juan Carlos Maria"),
+    ("Anna", None, "Ana"), ("X Y", "Lanternkeeper", "Lanternkeper"), ("Iraove de Wilseleth", None, "Iraove Wilseleth"), ("洛朵莱·普德普", None, "普德普·洛朵来"),
+])
+def test_no_caps_on_parts_lengths_or_aliases(name, alias, typed):
+    book = names.Book([("C-1", name, True), ("C-2", "Hobbert Pook", True), ("C-3", "褟弦珩", True)] + ([("C-1", alias, False)] if alias else []))
+    assert list(book.find(typed)[1]) == ["C-1"]
+
+
+def test_strangers_stay_unlinked():
+    book = names.Book([("C-1", "Anna", True), ("C-1", "老王", False), ("C-2", "Tom Fisk", True), ("C-2", "Captain Fisk", False), ("C-3", "褟弦", True)])
+    assert all(book.find(x) == (99, {}) for x in ("Anne", "老李", "Captain Risk", "Old Bill", "Tim", "Captain", "", "弦"[:0]))
+
+
+def test_every_spelling_is_found_through_the_trie(monkeypatch):
+    walked = []
+    near = names.Trie.near
+    monkeypatch.setattr(names.Trie, "near", lambda self, *a: walked.append(near(self, *a)) or walked[-1])
+    book = names.Book([("C-1", "即墨晚阑", True), ("C-3", "Turmonis Ulmsel", True)])
+    for typed in ("即墨大人", "阿阑", "Captain Ulmsel", "T. Ulmsel", "Ulmsel, Turmonis", "Trumonis Ulmsel"):
+        walked.clear()
+        got = list(book.find(typed)[1])
+        assert len(got) == 1 and any(w for w in walked)
+
+
 # -- 6 --------------------------------------------------------------------------------------------
 
 
@@ -103,6 +144,32 @@ def test_ordinary_characters(text):
     assert confusables.normal_form(text) == (text, False)
 
 
+@pytest.mark.parametrize("text,form", [("ѕсоре", "scope"), ("the раура tree", "the paypa tree")])
+def test_whole_script_confusables(text, form):
+    assert confusables.normal_form(text, whole=True) == (form, True)
+    assert confusables.normal_form(text) == (text, False)
+
+
+@pytest.mark.parametrize("text", ["он сказал", "墙上刻着 Ворон 一词", "οὐσία και", "アリス"])
+def test_words_of_another_script_beyond_doubt(text):
+    assert confusables.normal_form(text, whole=True) == (text, False)
+
+
+@pytest.mark.parametrize("text,form", [("𝐀lpha", "Alpha"), ("ﬁn", "fin"), ("Ⅳ", "IV"), ("ｶﾅ", "カナ"), ("ｶﾞ", "ガ")])
+def test_remaining_forms(text, form):
+    assert confusables.normal_form(text) == (form, False)
+
+
+def test_script_extensions_and_public_table(spark):
+    assert {"Japanese", "Chinese", "Korean"} <= confusables.scripts("木") and confusables.resolved("aб") == frozenset() and confusables.resolved("カ木") == {"Japanese"}
+    assert confusables.scripts("1") == frozenset() and "Cyrillic" in confusables.scripts("\u0483") and "Latin" not in confusables.scripts("\u0483")
+    t = confusables.public_table(spark)
+    assert t["а"] == ("a", True) and t["н"] == ("h", False) and t["Ꭺ"] == ("A", True) and t["օ"] == ("o", True) and len(t) > 200
+    confusables.install(t)
+    assert confusables.normal_form("Ꭺlpha") == ("Alpha", True) and confusables.whole_script("ѕсоре") == "scope"
+    confusables.install({})
+
+
 def test_normalized_keeps_nulls(spark, rows):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "ａ")], "id int, text string")
     assert rows(confusables.normalized(df, "text")) == [(1, None, None, False), (2, "", "", False), (3, "ａ", "a", True)]
