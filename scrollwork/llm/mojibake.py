@@ -1,10 +1,12 @@
 """Text that was once decoded with the wrong character encoding.
 
 For every pair of a true and a wrong encoding the garbled sequences of the corpus's own
-characters are computed beforehand and put into one multi-pattern automaton. A match weighs as
-much as the true character is more frequent in the corpus than the stored sequence. Matches of
-one pair that follow each other make a span; only spans with enough weight count, and only they
-are replaced.
+characters are computed beforehand and put into one multi-pattern automaton: characters of several bytes as
+they stand; letters of one byte within a Latin word with their neighbours, where the corpus's counts say that another
+letter belongs there; pairs of Cyrillic letters; and the signs that only a failed decoding leaves behind. Every finding
+starts from a match of the automaton. A match weighs as much as the true character is more frequent in the corpus than the
+stored sequence. Matches of one pair that follow each other make a span; only spans with enough weight count, and only
+they are replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,26 +60,45 @@ def _table(enc: str) -> list[str]:
     return _TABLES[enc]
 
 
-_FEW = re.compile("([A-Za-z])([^\\x00-\\x7f])(?=(.?))", re.S)
-_MANY = re.compile("(?<=([A-Za-z]))([^\\x00-\\x7f])(?=(.?))", re.S)
 _CYRILLIC_WORD = re.compile("[\\u0400-\\u045f]{2,}")
 
 
-def _inner_signs(t: str) -> list[tuple[str, str, str]]:
-    """(letter, sign, next character) of each non-ASCII sign after an ASCII letter; two ways, each fast on its kind of text."""
-    return (_MANY if t.count(" ") * 20 > len(t) else _FEW).findall(t)
+def _char_class(chars: set[str]) -> str:
+    return f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
+
+
+@lru_cache(1)
+def behind() -> dict[str, frozenset[str]]:
+    """sign -> the Latin letters of one byte that it can be the garbled form of, over all pairs."""
+    out: dict[str, set[str]] = defaultdict(set)
+    for wrong in SINGLE:
+        for true in LATIN_TRUE:
+            if true != wrong:
+                for x, m in zip(_table(wrong)[128:], _table(true)[128:]):
+                    if x != m and (m.isalpha() and m < "ƀ" or m == "’"):
+                        out[x].add(m)
+    return {x: frozenset(v) for x, v in out.items()}
 
 
-def _context(g: tuple[str, str, str]) -> str:
-    a, x, z = g
-    return a + x + (z if z.isascii() and z.isalpha() else "_")
+@lru_cache(1)
+def _inner_signs() -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """(letter, sign, next character) of the signs of one byte and their letters after an ASCII letter; two ways, each fast on its kind of text."""
+    c = _char_class(set(behind()).union(*behind().values()))
+    return re.compile(f"([A-Za-z])({c})(?=(.?))", re.S), re.compile(f"(?<=([A-Za-z]))({c})(?=(.?))", re.S)
+
+
+def _contexts(t: str) -> Iterator[str]:
+    few, many = _inner_signs()
+    for a, x, z in (many if t.count(" ") * 20 > len(t) else few).findall(t):
+        yield a + x + (z if z.isascii() and z.isalpha() else "_")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (gram, n) over all texts: counts of characters (one long), of non-ASCII characters after an ASCII
-    letter with both neighbours (three long; what isn't an ASCII letter is `_`), and of pairs of Cyrillic letters.
+    """Rows (gram, n) over all texts: counts of characters (one long), of the high characters of one-byte encodings after an
+    ASCII letter with both neighbours (three long; what isn't an ASCII letter is `_`), and of pairs of Cyrillic letters.
 
-    At most a row per code point and per such neighbourhood of it, however large the corpus.
+    At most a row per code point, 52 x 53 per high character of the encodings, and one per pair of Cyrillic letters,
+    however large the corpus.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +111,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             ones[: len(seen)] += seen
             for t in texts:
                 if not t.isascii():
-                    more.update(map(_context, _inner_signs(t)))
+                    more.update(_contexts(t))
                     for word in _CYRILLIC_WORD.findall(t):
                         more.update(map("".join, zip(word, word[1:])))
         at = np.flatnonzero(ones)
@@ -118,8 +140,12 @@ def _edge(ch: str) -> int:
     return 0 if not ch.isalnum() else 1 if ch < "\x80" else 2 if ch < "\u2e80" and ch.isalpha() else 0
 
 
-def _char_class(chars: set[str]) -> str:
-    return f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
+@lru_cache(1)
+def _hopeless() -> tuple[str, ...]:
+    """The signs that stand in no text read rightly, as the first bytes of their UTF-8 form."""
+    lost = [_units("\ufffd")] + [_units(chr(c)) for c in range(0x80, 0xA0) if c != 0x85]
+    places = [(0xEE, 0x80, 0xC0), (0xEF, 0x80, 0xA4), (0xF3, 0xB0, 0xC0), (0xF4, 0x80, 0x90)]
+    return (*lost, *(chr(lead) + chr(b) for lead, a, z in places for b in range(a, z)))
 
 
 class Detector:
@@ -174,10 +200,12 @@ class Detector:
                         add(c.encode().decode(wrong), p, c, None)
                     except UnicodeDecodeError:
                         pass
-            for s in ("鈥", "锛", "銆") if wrong == "gbk" else ("窶", "縲") if wrong == "cp932" else ():
-                found[s].append((p, 3.0, None))
+            # What the marks of any Chinese text begin with: their first two bytes, read as one character.
+            for lead in ("‘", "，", "。") if wrong == "gbk" else ("“", "。") if wrong == "cp932" else ():
+                found[lead.encode()[:2].decode(wrong)].append((p, 3.0, None))
             if wrong == "gbk":
-                found["锟斤"].append((pair("�", wrong, "lost"), 99.0, None))
+                # A sign lost in UTF-8 and read again.
+                found["��".encode().decode(wrong)[:2]].append((pair("�", wrong, "lost"), 99.0, None))
                 continue
             aligned = wrong in ("big5", "cp949")
             q = pair("gbk", wrong, "cjk" if aligned else "bytes")
@@ -187,6 +215,29 @@ class Detector:
                 except (UnicodeEncodeError, UnicodeDecodeError):
                     continue
                 add(s, q, c, c)
+        self.cyr: dict[str, dict[str, str]] = {}
+        self.cyr_keys: dict[str, frozenset[str]] = {}
+        for wrong in (*CYRILLIC_TRUE, "latin-1", "cp1252", "mac_roman"):
+            for true in CYRILLIC_TRUE:
+                if true != wrong:
+                    self.cyr[f"{true}>{wrong}"] = {x: m for x, m in zip(_table(wrong)[128:], _table(true)[128:]) if x != m}
+                    self.cyr_keys[f"{true}>{wrong}"] = frozenset(_table(wrong)[128:])
+        self.cyr_class = frozenset().union(*self.cyr_keys.values())
+        self.cyr_runs = re.compile(_char_class(set(self.cyr_class)) + "+")
+        self.cyr_total = sum(n for g, n in grams.items() if len(g) == 2) or 1
+        self.cyr_least = math.log(0.3 / self.cyr_total)
+        self.cyr_verdicts: dict[tuple[str, int, int], tuple] = {}
+
+        for seq, what in self._context_sequences().items():
+            found[seq] += [(pair("one byte", "one byte", kind), float(sure), best) for kind, (best, sure) in what.items()]
+        seed = pair("Cyrillic", "one byte", "cyr")
+        for seq in self._cyrillic_sequences():
+            found[seq].append((seed, 0.0, None))
+        start = pair("one byte", "one byte", "start")
+        for a, z in ((0x2500, 0x2580), (0x384, 0x400), (0x400, 0x460)):
+            for x in map(chr, range(a, z)):
+                for seq in [x] if a == 0x2500 else [x + chr(c) for c in (*range(65, 91), *range(97, 123))]:
+                    found[seq].append((start, 0.0, None))
         self.auto = ahocorasick.Automaton()
         for seq, what in found.items():
             best: dict[int, tuple[int, float, str | None]] = {}
@@ -194,13 +245,12 @@ class Detector:
                 if x[0] not in best or best[x[0]][1] < x[1]:
                     best[x[0]] = x
             self.auto.add_word(_units(seq), (len(seq), tuple(best.values())))
-        starts, rest, alone = (_char_class(x) for x in ({q[0] for q in found if len(q) > 1}, {c for q in found for c in q[1:]}, {q for q in found if len(q) == 1}))
-        self.runs = re.compile(f"(?:{starts}{rest}+|{alone})+").finditer
-        if found:
-            self.auto.make_automaton()
-        self.empty = not found
-        self.verdicts: dict[tuple[str, str, str], tuple[str, bool] | None] = {}
-        self._between()
+        lost = ((1, ((pair("?", "?", "lost"), 99.0, None),)),)
+        for prefix in _hopeless():
+            had = self.auto.get(prefix, None)
+            self.auto.add_word(prefix, (1, (had[1] if had else ()) + lost[0][1]))
+        self.auto.make_automaton()
+        self.kinds = [k for _, _, k in self.pairs]
 
     def _p(self, c: str) -> float:
         return self.logp.get(c, self.never)
@@ -208,55 +258,62 @@ class Detector:
     def logp2(self, seq: str) -> float:
         return math.log(self.grams[seq]) - self.base
 
-    def _between(self) -> None:
-        """Letters that a single stored sign may be the garbled form of."""
-        self.behind: dict[str, set[str]] = defaultdict(set)
-        for wrong in SINGLE:
-            for true in LATIN_TRUE:
-                if true != wrong:
-                    for x, m in zip(_table(wrong)[128:], _table(true)[128:]):
-                        if x != m and (m.isalpha() and m < "ƀ" or m == "’"):
-                            self.behind[x].add(m)
-        self.cyr: dict[str, dict[str, str]] = {}
-        self.cyr_keys: dict[str, frozenset[str]] = {}
-        for wrong in (*CYRILLIC_TRUE, "latin-1", "cp1252", "mac_roman"):
-            for true in CYRILLIC_TRUE:
-                if true != wrong:
-                    self.cyr[f"{true}>{wrong}"] = {x: m for x, m in zip(_table(wrong)[128:], _table(true)[128:]) if x != m}
-                    self.cyr_keys[f"{true}>{wrong}"] = frozenset(_table(wrong)[128:])
-        self.cyr_runs = re.compile(_char_class(set().union(*self.cyr_keys.values())) + "+").finditer
-        self.cyr_total = sum(n for g, n in self.grams.items() if len(g) == 2) or 1
-        self.cyr_least = math.log(0.3 / self.cyr_total)
-        self.cyr_verdicts: dict[tuple[str, int, int], tuple] = {}
+    def _context_sequences(self) -> dict[str, dict[str, tuple[str, bool]]]:
+        """Letter, sign and next letter (or letter and sign, by what follows) where another letter belongs in the sign's place."""
+        out: dict[str, dict[str, tuple[str, bool]]] = defaultdict(dict)
+        for g in self.grams:
+            if len(g) == 3 and g[1] in behind():
+                a, x, z = g
+                ways = {"sign": ""} | {"sign before letter": "é"} if z == "_" else {"sign within": z}
+                for kind, nxt in ways.items():
+                    verdict = self._judge(a, x, nxt)
+                    if verdict:
+                        out[a + x if z == "_" else g][kind] = verdict
+        return out
+
+    def _cyrillic_sequences(self) -> set[str]:
+        """The garbled forms of the pairs of Cyrillic letters of which every word that `_cyrillic_words` is sure of has one.
+
+        Such a word's pairs have a mean log frequency above -7.5 and gain more than 2.2 each on average; so in any mix of the
+        two at least one pair is above. The mix below gives the fewest matches in text read rightly.
+        """
+        out = set()
+        true = [(g, math.log(n / self.cyr_total)) for g, n in self.grams.items() if len(g) == 2]
+        for name, t in self.cyr.items():
+            back: dict[str, list[str]] = defaultdict(list)
+            for x in self.cyr_keys[name]:
+                back[t.get(x, x)].append(x)
+            for b, p in true:
+                for v in {b, b.upper(), b.title()} if b.islower() else {b}:
+                    for x in back.get(v[0], ()):
+                        for y in back.get(v[1], ()):
+                            s = x + y
+                            n = self.grams.get(s, 0)
+                            now = math.log(n / self.cyr_total) if n else self.cyr_least
+                            if s != v and 0.3 * (p + 7.5) + 0.7 * (p - now - 2.2) > 0:
+                                out.add(s)
+        return out
 
     # -- spans of the automaton -------------------------------------------------
 
-    def _matches(self, text: str) -> Iterator[tuple[int, tuple[int, tuple]]]:
-        """(last place, (length, what)) of each match; only runs of signs that occur in some sequence are searched."""
-        search = self.auto.iter
-        for m in self.runs(text):
-            run = m[0]
-            hits = list(search(_units(run)))
-            if not hits:
-                continue
-            place, at = {}, 0
-            for i, ch in enumerate(run, m.start()):
-                at += 1 if ch < "\x80" else 2 if ch < "\u0800" else 3 if ch < "\U00010000" else 4
-                place[at - 1] = i
-            for last, what in hits:
-                yield place[last], what
-
-    def _chains(self, text: str, hasty: bool = False) -> Iterator[Span]:
-        """Accepted spans of the automaton's matches. hasty: also yields a span that is long enough before its end."""
+    def matches(self, text: str) -> list[tuple[int, int, tuple]]:
+        """(start, end, what) of all matches, in one pass of the automaton over the text."""
+        hits = list(self.auto.iter(_units(text)))
+        if not hits:
+            return []
+        lead = (np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0) != 0x80
+        at = np.cumsum(lead)[[h[0] for h in hits]].tolist()
+        return [(end - n, end, what) for end, (_, (n, what)) in zip(at, hits)]
+
+    def _chains(self, text: str, matches: list[tuple[int, int, tuple]]) -> Iterator[Span]:
+        """Accepted spans of characters of several bytes."""
         open_: dict[int, list] = {}  # pair -> [start, end, weight, matches, parts]
         runs: dict[int, int] = {}
         done: list[tuple[int, list]] = []
-        for last, (n, what) in self._matches(text):
-            start, end = last + 1 - n, last + 1
+        for start, end, what in matches:
             for p, w, restored in what:
-                kind = self.pairs[p][2]
-                if kind == "lost":
-                    yield Span(start, end, None, "lost")
+                kind = self.kinds[p]
+                if kind not in ("utf8", "wide", "cjk", "bytes"):
                     continue
                 if kind == "bytes":
                     if runs.get(p, -1) < end:
@@ -275,15 +332,13 @@ class Detector:
                     if start == o[1] or (start - o[1] <= 3 and all(ch in _GAP for ch in text[o[1] : start])):
                         o[1], o[2], o[3], o[5], o[6] = end, o[2] + w, o[3] + 1, start, w
                         o[4].append((start, end, restored))
-                        if hasty and o[3] == 8 and self._accept(text, p, o):
-                            yield Span(o[0], o[1], None, "")
                         continue
                     done.append((p, o))
                 open_[p] = [start, end, w, 1, [(start, end, restored)], start, w]
         done.extend(open_.items())
         # A pair that one span proves holds for the text's weaker matches of it too.
         sure = [self._accept(text, p, o) for p, o in done]
-        proven = {p for (p, _), yes in zip(done, sure) if yes and self.pairs[p][2] == "utf8"}
+        proven = {p for (p, _), yes in zip(done, sure) if yes and self.kinds[p] == "utf8"}
         for (p, o), yes in zip(done, sure):
             if yes or p in proven:
                 true, wrong, _ = self.pairs[p]
@@ -368,41 +423,45 @@ class Detector:
 
     _START_SIGN = re.compile("(?<![^\\W_])[\\u2500-\\u257f\\u0384-\\u03ff\\u0400-\\u045f](?=[a-z]{2}|[A-Z]{2})|[\\u2500-\\u257f](?=[A-Za-z])|(?<=[A-Za-z])[\\u2500-\\u257f]")
 
-    def _signs(self, text: str) -> Iterator[Span]:
+    def _signs(self, text: str, matches: list[tuple[int, int, tuple]]) -> Iterator[Span]:
         """A sign within a Latin word that is rare between its neighbours, while a letter it may stand for is common there."""
-        for m in self._START_SIGN.finditer(text):
-            yield Span(m.start(), m.end(), None, "sign")
-        many = text.count(" ") * 20 > len(text)
-        find = _MANY if many else _FEW
-        verdict = self.verdicts
-        if not any([verdict.get(g) or (g not in verdict and self._judge(g)) for g in find.findall(text)]):
-            return
-        found = [(m.end() - 1, *verdict[m.groups()]) for m in find.finditer(text) if verdict[m.groups()]]
-        if any(sure for _, _, sure in found):
-            for at, best, _ in found:
+        found: list[tuple[int, str]] = []
+        clear = False
+        for start, end, what in matches:
+            for p, sure, best in what:
+                kind = self.kinds[p]
+                if kind == "lost":
+                    yield Span(start, end, None, "lost")
+                elif kind == "start":
+                    if self._START_SIGN.match(text, start):
+                        yield Span(start, start + 1, None, "sign")
+                elif kind == "sign within" or (kind == "sign" and not _LETTER.match(text, end)) or (kind == "sign before letter" and text[end : end + 1] > "\x7f" and _LETTER.match(text, end)):
+                    found.append((start + 1, best))
+                    clear = clear or bool(sure)
+        if clear:
+            for at, best in found:
                 yield Span(at, at + 1, best, "sign")
 
-    def _judge(self, g: tuple[str, str, str]) -> tuple[str, bool] | None:
-        """(the letter that the sign g[1] stands for, whether that is sure by itself) or None; remembered."""
-        out = None
-        a, x, z = g
-        if x in self.behind and x not in "’…":
-            get = self.grams.get
-            kz = z if z.isascii() and z.isalpha() else "_"
-            here = get(a + x + kz, 0)
-            odd = not x.isalpha() or (x.isupper() and a.islower()) or (ord(x) > 0x17F and x not in "\ufb01\ufb02")
-            best, n = None, 0
-            for c in sorted(self.behind[x]):
-                k = get(a + c + kz, 0)
-                if k > n:
-                    best, n = c, k
-            plain = not x.isalpha() and not (kz != "_" or _LETTER.match(z)) and x in _NATURAL | frozenset("“”„«»–—‘‚‹›")
-            if best is not None and not plain:
-                other = odd and x.isalpha() and ord(x) >= 0x370 and a.islower() and z.isascii() and z.islower()
-                if other or (n >= 6 and n >= (4 if odd else 40) * (here + 0.25)):
-                    out = (best, not (best == "’" and x.isalpha() and not odd))
-        self.verdicts[g] = out
-        return out
+    def _judge(self, a: str, x: str, z: str) -> tuple[str, bool] | None:
+        """(the letter that the sign x after a and before z stands for, whether that is sure by itself) or None."""
+        if x in "’…":
+            return None
+        get = self.grams.get
+        kz = z if z.isascii() and z.isalpha() else "_"
+        here = get(a + x + kz, 0)
+        odd = not x.isalpha() or (x.isupper() and a.islower()) or (ord(x) > 0x17F and x not in "\ufb01\ufb02")
+        best, n = None, 0
+        for c in sorted(behind()[x]):
+            k = get(a + c + kz, 0)
+            if k > n:
+                best, n = c, k
+        plain = not x.isalpha() and not (kz != "_" or _LETTER.match(z)) and x in _NATURAL | frozenset("“”„«»–—‘‚‹›")
+        if best is None or plain:
+            return None
+        other = odd and x.isalpha() and ord(x) >= 0x370 and a.islower() and z.isascii() and z.islower()
+        if other or (n >= 6 and n >= (4 if odd else 40) * (here + 0.25)):
+            return best, not (best == "’" and x.isalpha() and not odd)
+        return None
 
     # -- Cyrillic read in another Cyrillic or Latin encoding ----------------------------------------
 
@@ -415,26 +474,38 @@ class Detector:
         get = self.grams.get
         return sum(math.log(n / self.cyr_total) if (n := get(s[i : i + 2], 0)) else self.cyr_least for i in range(len(s) - 1))
 
-    def _cyrillic(self, text: str) -> Iterator[Span]:
-        """Words of Cyrillic letters, whatever surrounds them: stretches of signs that a pair's table can produce, in which the pieces that become letters are scored.
+    def _stretch(self, text: str, at: int, end: int) -> tuple[tuple[int, int, str | None, str, bool], ...]:
+        """`_cyrillic_words` of a stretch, remembered."""
+        key = (text[at:end], _edge(text[at - 1]) if at else 0, _edge(text[end]) if end < len(text) else 0)
+        got = self.cyr_verdicts.get(key)
+        if got is None:
+            if len(self.cyr_verdicts) > 200_000:
+                self.cyr_verdicts.clear()
+            got = self.cyr_verdicts[key] = self._cyrillic_words(*key)
+        return got
+
+    def _cyrillic(self, text: str, matches: list[tuple[int, int, tuple]]) -> Iterator[Span]:
+        """Words of Cyrillic letters, whatever surrounds them: stretches of signs that a pair's table can produce around a
+        match, in which the pieces that become letters are scored.
 
         Words of one letter, and of two if they could be right, count only next to a span of their pair.
         """
-        verdicts, last = self.cyr_verdicts, len(text)
+        done = -1
+        for start, end, what in matches:
+            if start < done or not any(self.kinds[p] == "cyr" for p, _, _ in what):
+                continue
+            while start and text[start - 1] in self.cyr_class:
+                start -= 1
+            done = self.cyr_runs.match(text, start).end()
+            if any(x[4] for x in self._stretch(text, start, done)):
+                break
+        else:
+            return
         sure: list[tuple[int, int, str | None, str]] = []
         weak: list[tuple[int, int, str | None, str]] = []
-        for m in self.cyr_runs(text):
-            at, end = m.span()
-            key = (m[0], _edge(text[at - 1]) if at else 0, _edge(text[end]) if end < last else 0)
-            got = verdicts.get(key)
-            if got is None:
-                if len(verdicts) > 200_000:
-                    verdicts.clear()
-                got = verdicts[key] = self._cyrillic_words(*key)
-            for i, j, r, name, yes in got:
-                (sure if yes else weak).append((at + i, at + j, r, name))
-        if not sure:
-            return
+        for m in self.cyr_runs.finditer(text):
+            for i, j, r, name, yes in self._stretch(text, *m.span()):
+                (sure if yes else weak).append((m.start() + i, m.start() + j, r, name))
         grown = True
         while weak and grown:
             by_start, by_end = {(x[0], x[3]) for x in sure}, {(x[1], x[3]) for x in sure}
@@ -490,15 +561,18 @@ class Detector:
                 out.append((i, j, w if clear else None, name if clear else "", True))
         return (*out, *weak)
 
+    def _parts(self, text: str) -> Iterator[Iterator[Span]]:
+        matches = self.matches(text)
+        if matches:
+            yield self._chains(text, matches)
+            yield self._signs(text, matches)
+            yield self._cyrillic(text, matches)
+
     def spans(self, text: str | None) -> list[Span]:
         """Garbled spans in order; where spans overlap the longer one stays. A null or ASCII text has none."""
         if not text or text.isascii():
             return []
-        out = [Span(m.start(), m.end(), None, "lost") for m in HOPELESS.finditer(text)]
-        if not self.empty:
-            out += self._chains(text)
-        out += self._signs(text)
-        out += self._cyrillic(text)
+        out = [s for part in self._parts(text) for s in part]
         out.sort(key=lambda s: (s.restored is None, s.start - s.end))
         taken: list[Span] = []
         used = bytearray(len(text))
@@ -510,12 +584,7 @@ class Detector:
 
     def is_garbled(self, text: str | None) -> bool:
         """Whether `spans` has any, ended at the first."""
-        if not text or text.isascii():
-            return False
-        if HOPELESS.search(text):
-            return True
-        parts = (() if self.empty else self._chains(text, True), self._signs(text), self._cyrillic(text))
-        return any(True for part in parts for _ in part)
+        return bool(text) and not text.isascii() and any(True for part in self._parts(text) for _ in part)
 
     def restore(self, text: str, spans: list[Span]) -> str:
         out, at = [], 0
@@ -525,35 +594,28 @@ class Detector:
         return "".join([*out, text[at:]])
 
 
-_MADE: dict[int, Detector] = {}
-
-
 def garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", restore: bool = True) -> DataFrame:
     """Rows (key, n_spans, n_lost, restored) of texts with a garbled span, or (key) alone if not `restore`.
 
     `restored` is the text with every span that can be undone replaced; n_lost counts those that cannot.
-    The counts are taken over all texts first. Null, empty and ASCII texts have no row; equal texts
+    The counts are taken over all texts first and the automaton is made from them once, on the driver; both are bounded by the
+    encodings and their characters, see `statistics`. Null, empty and ASCII texts have no row; equal texts
     each have their own.
     """
-    from scrollwork.session import checkpointed
-
-    counts = {r[0]: r[1] for r in checkpointed(statistics(docs, text)).collect()}  # bounded by the code points, see statistics
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(Detector({r[0]: r[1] for r in statistics(docs, text).collect()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = id(shared)
+        d = shared.value
         for b in batches:
-            if mark not in _MADE:
-                _MADE.clear()
-                _MADE[mark] = Detector(shared.value)
-            d = _MADE[mark]
             at, n, lost, new = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                if not d.is_garbled(t):
+                if not restore:
+                    if d.is_garbled(t):
+                        at.append(i)
                     continue
-                at.append(i)
-                if restore:
-                    s = d.spans(t)
+                s = d.spans(t)
+                if s:
+                    at.append(i)
                     n.append(len(s))
                     lost.append(sum(x.restored is None for x in s))
                     new.append(d.restore(t, s))

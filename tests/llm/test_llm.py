@@ -305,6 +305,28 @@ def test_rare_characters_of_a_large_corpus():
     assert d.spans("aéa 守") == []
 
 
+@pytest.mark.parametrize("times", [1, 1_000, 1_000_000])
+def test_a_larger_corpus_loses_nothing(times):
+    from collections import Counter
+
+    rest, few = Counter("gonec spriatal é ü ñ карту без подписи 没有人应声檐下的铃响了一阵" * 50), Counter("守夜珗" * 5)
+    d = mojibake.Detector({c: n * times for c, n in rest.items()} | few)
+    for c in few:
+        bad = "a " + wrong(c, "utf-8", "latin-1") + " a"
+        assert d.is_garbled(bad) and d.restore(bad, d.spans(bad)) == f"a {c} a"
+    assert not d.is_garbled("gonec é 守夜 карту")
+
+
+def test_every_finding_starts_from_a_match(corpus, monkeypatch):
+    from collections import Counter
+
+    d = mojibake.Detector(Counter("".join(corpus)))
+    bad = [wrong(*c) for c in CASES[:8]] + ["x�y", "caf\x85\x82", "锟斤拷", "a\ue123"]
+    assert all(d.is_garbled(t) for t in bad[:6] + bad[8:])
+    monkeypatch.setattr(mojibake.Detector, "matches", lambda self, text: [])
+    assert not any(d.is_garbled(t) or d.spans(t) for t in bad)
+
+
 @pytest.mark.parametrize("before,word,after", [("«", "карту", "»"), ("他说", "гонец", "，"), ("—", "спрятал", "…"), ("", "КАРТУ", "!"), ("x ", "карту на столе в", " y"), ("", "гонец—спрятал", ""), ("", "спряталкартубезподписи" * 4, "")])
 @pytest.mark.parametrize("true,read", [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "cp866")])
 def test_cyrillic_words_in_any_place(before, word, after, true, read):
@@ -317,7 +339,7 @@ def test_cyrillic_words_in_any_place(before, word, after, true, read):
     for w in mojibake._CYRILLIC_WORD.findall(text):
         grams.update(map("".join, zip(w, w[1:])))
     d = mojibake.Detector(grams)
-    assert not list(d._cyrillic(text))
+    assert not list(d._cyrillic(text, d.matches(text)))
     parts = [mojibake._read(x.encode(true), read) for x in word.split("—")]
     bad = before + "—".join(parts) + after
     assert d.restore(bad, [s for s in d.spans(bad) if s.pair == f"{true}>{read}"]) == before + word + after
@@ -327,5 +349,8 @@ def test_cyrillic_words_in_any_place(before, word, after, true, read):
 def test_queries_run_over_whole_tables(spark):
     from scrollwork.llm import queries
 
-    for name in ("p1_found", "p3_found", "p6_found", "p9_found"):
-        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+    got = {name: queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect() for name in ("p1_found", "p3_found", "p6_found", "p9_found", "p9_restored", "p1_classes")}
+    assert all(len(r) == len(set(r)) for r in got.values()) and all(got.values())
+    assert {r["doc_id"] for r in got["p9_found"]} == {r["doc_id"] for r in got["p9_restored"]}
+    links = sum(r["n_links"] for r in got["p1_classes"])
+    assert links == 2 * len(got["p1_found"])
