@@ -221,7 +221,7 @@ def loaded(path: str) -> Bpe:
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Rows (key, ids ARRAY<INT>): each text's ids without special tokens; null and empty texts have an empty list.
 
-    Strings of special tokens are ordinary text. One row out per row in; no shuffle.
+    Strings of special tokens are ordinary text. One row out per row in, repeated rows too; no shuffle.
     """
     path = path or default_vocabulary()
 

@@ -10,6 +10,7 @@ packs; the documents, numbered within their size, are then joined with it.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,12 @@ BinClass = tuple[int, tuple[tuple[int, int], ...]]
 
 
 def dominant_sets(counts: np.ndarray, capacity: int) -> list[BinClass]:
-    """Fix sets {j}, {j, k} that dominate all feasible sets with j; `counts` (by size) is reduced in place.
+    """Fix sets {j}, {j, k}, {j, k, b} that dominate all feasible sets with j; `counts` (by size) is reduced in place.
 
     Let k be the largest that fits beside j. {j, k} dominates if it fills the bin, if no two others
     fit beside j, or if at most two do and no such pair sums to more than k: whatever j is packed
-    with elsewhere can then change places with k.
+    with elsewhere can then change places with k. If at most two fit, let b be the largest that fits beside j and k: {j, k, b}
+    dominates if every other pair either has its smaller part at most b or goes into k's place as a whole.
     """
     out: list[BinClass] = []
     size = capacity
@@ -49,7 +51,7 @@ def dominant_sets(counts: np.ndarray, capacity: int) -> list[BinClass]:
             counts[size] -= out[-1][0]
             continue
         k = int(have[-1])
-        fixed = k == room
+        fixed, trio = k == room, 0
         if not fixed:
             least = int(have[0])
             two = 2 * least if beside[least] > 1 else (least + int(have[1]) if len(have) > 1 else capacity + 1)
@@ -61,11 +63,23 @@ def dominant_sets(counts: np.ndarray, capacity: int) -> list[BinClass]:
                     at = np.searchsorted(have, room - have, side="right") - 1
                     same = (at >= 0) & (have[at] == have) & (beside[have] < 2)
                     at = np.where(same, at - 1, at)
-                    fixed = bool((np.where(at >= 0, have + have[at], 0)).max() <= k)
+                    sums = np.where(at >= 0, have + have[at], 0)
+                    fixed = bool(sums.max() <= k)
+                    fits = have[(have <= room - k) & ((have != k) | (beside[k] > 1))]
+                    if not fixed and len(fits):
+                        b = int(fits[-1])
+                        if not ((have > b) & (at >= 0) & (have[at] >= have) & (sums > k)).any():
+                            fixed, trio = True, b
         if not fixed:
             size = int(np.flatnonzero(counts[:size])[-1]) if counts[1:size].any() else 0
             continue
-        if k == size:
+        if trio:
+            what = Counter((size, k, trio))
+            m = min(int(counts[x]) // q for x, q in what.items())
+            out.append((m, tuple(what.items())))
+            for x, q in what.items():
+                counts[x] -= m * q
+        elif k == size:
             out.append((n // 2, ((size, 2),)))
             counts[size] -= 2 * (n // 2)
         else:
@@ -134,19 +148,22 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def ranked(items: DataFrame, by: str, key: str, salts: int = 64) -> DataFrame:
-    """`items` with `rank`, from 0 within each value of `by`; a value that most rows share is numbered in `salts` parts."""
-    x = items.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    n = x.groupBy(by, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.select(F.col(by).alias("_by"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    x = x.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_salt").orderBy(key)) - 1)
-    return x.join(n, (F.col(by) == F.col("_by")) & (F.col("_salt") == F.col("_s"))).withColumn("rank", F.col("_r") + F.col("_start")).drop("_by", "_s", "_salt", "_n", "_r", "_start")
+def ranked(items: DataFrame, parts: DataFrame, by: str, key: str) -> DataFrame:
+    """`items` with `rank`, from 0 within each value of `by`; parts (_by, parts) tells in how many parts a value is numbered."""
+    x = items.join(F.broadcast(parts), F.col(by) == F.col("_by")).withColumn("_part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("_by", "parts")
+    n = x.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(F.col(by).alias("_by"), F.col("_part").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_part").orderBy(key)) - 1)
+    return x.join(n, (F.col(by) == F.col("_by")) & (F.col("_part") == F.col("_s"))).withColumn("rank", F.col("_r") + F.col("_start")).drop("_by", "_s", "_part", "_r", "_start")
 
 
-def packed(sizes: DataFrame, capacity: int) -> DataFrame:
+def packed(sizes: DataFrame, capacity: int, per_part: int = 20_000) -> DataFrame:
     """Rows (doc_id, part, n_tokens, pack_id) of sizes (doc_id, n_tokens).
 
+    The plan has at most a row for every pair of sizes that share a pack, and the number of parts a row for every size, both
+    bounded by the capacity, whatever the corpus. A size that most items have is numbered in parts of about `per_part`.
+
     A text longer than the capacity is cut into full parts and one rest; every other text stays whole
     as part 1. Texts without tokens take no room and go to pack 0. Ties and repeated sizes are
     numbered by doc_id within their size; an empty table gives no rows.
@@ -159,7 +176,8 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
     counted = {r[0]: r[1] for r in items.where("n_tokens > 0").groupBy("n_tokens").count().collect()}  # at most `capacity` rows
     schema = T.StructType([T.StructField("size", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("r0", "r1", "pack", "q"))])
     rows = spark.createDataFrame(plan(counted, capacity), schema)
-    x = ranked(items.where("n_tokens > 0"), "n_tokens", "_key")
+    parts = spark.createDataFrame([(s, 1 + n // per_part) for s, n in counted.items()], "_by int, parts long")
+    x = ranked(items.where("n_tokens > 0"), parts, "n_tokens", "_key")
     x = x.join(rows, (F.col("n_tokens") == F.col("size")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
     x = x.select("doc_id", "part", "n_tokens", (F.col("pack") + F.floor((F.col("rank") - F.col("r0")) / F.col("q"))).cast("bigint").alias("pack_id"))
     none = items.where("n_tokens = 0").select("doc_id", "part", "n_tokens", F.lit(0).cast("bigint").alias("pack_id"))
@@ -167,9 +185,12 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
 
 
 def packs(docs: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Rows (pack_kind, pack_id, doc_id, part, n_tokens): the documents in packs of every kind of `budgets`."""
+    """Rows (pack_kind, pack_id, doc_id, part, n_tokens): the documents in packs of every kind of `budgets`.
+
+    Repeated rows of a document count once.
+    """
     kinds = [tuple(r) for r in budgets.select("pack_kind", "tokenizer", "capacity").distinct().orderBy("pack_kind").collect()]  # a fixed table of a few rows
-    measured = {t: checkpointed(bpe.sizes(docs, path=bpe.default_vocabulary(t))) for t in {k[1] for k in kinds}}
+    measured = {t: checkpointed(bpe.sizes(docs, path=bpe.default_vocabulary(t)).distinct()) for t in {k[1] for k in kinds}}
     out = None
     for kind, tokenizer, capacity in kinds:
         x = packed(measured[tokenizer], capacity).select(F.lit(kind).alias("pack_kind"), "pack_id", "doc_id", "part", "n_tokens")

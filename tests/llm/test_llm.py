@@ -243,10 +243,26 @@ def test_plans_are_whole_and_near_the_best():
     assert packing.dominant_sets(counts, 10) == [(1, ((7, 1), (3, 1))), (2, ((6, 1),))]
 
 
+def test_dominant_sets_keep_the_best():
+    rnd = random.Random(11)
+    seen = set()
+    for _ in range(400):
+        c = rnd.choice([10, 20, 40])
+        items = [rnd.randint(1, c) for _ in range(rnd.randint(1, 8))]
+        counts = np.bincount(items, minlength=c + 1).astype(np.int64)
+        fixed = packing.dominant_sets(counts, c)
+        rest = [s for s, n in enumerate(counts.tolist()) for _ in range(n)]
+        taken = [s for n, what in fixed for s, q in what for _ in range(n * q)]
+        assert sorted(rest + taken) == sorted(items) and all(sum(s * q for s, q in what) <= c for _, what in fixed)
+        assert sum(n for n, _ in fixed) + (best_bins(rest, c) if rest else 0) == best_bins(items, c)
+        seen |= {sum(q for _, q in what) for _, what in fixed}
+    assert seen >= {1, 2, 3}
+
+
 def test_packed(spark):
     n = [0, 5, 10, 23, 7, 3, 3, 3, 0, 10] + [4] * 40
     df = spark.createDataFrame(list(enumerate(n)), "doc_id long, n_tokens int")
-    got = [tuple(r) for r in packing.packed(df, 10).select("doc_id", "part", "n_tokens", "pack_id").collect()]
+    got = [tuple(r) for r in packing.packed(df, 10, per_part=4).select("doc_id", "part", "n_tokens", "pack_id").collect()]
     by, loads = {}, {}
     for d, p, t, k in got:
         by.setdefault(d, []).append((p, t))
@@ -261,6 +277,7 @@ def test_packs_of_every_kind(spark):
     docs = spark.createDataFrame([(1, ZH), (2, None), (3, FR * 3)], "doc_id long, text string").withColumn("pack_id", F.lit("x"))
     budgets = spark.createDataFrame([("a", "byte_bpe_50k", 64), ("b", "byte_bpe_multi_50k", 4096)], "pack_kind string, tokenizer string, capacity int")
     got = packing.packs(docs, budgets).collect()
+    assert sorted(packing.packs(docs.union(docs), budgets).collect()) == sorted(got)
     assert {r["doc_id"] for r in got if r["pack_kind"] == "b"} == {1, 2, 3} and max(r["n_tokens"] for r in got if r["pack_kind"] == "a") <= 64
 
 
