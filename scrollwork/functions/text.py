@@ -23,9 +23,13 @@ DNA_SPLIT = r"[-—–－/／、,，;；|:：\t-\r\x1c-\x20\x85\xa0\u2000-\u200a
 DNA_SPLIT_RE2 = r"[-—–－/／、,，;；|:：\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+#: The same characters one by one, for functions that take a list.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.match(WS_CLASS, c))
+
+
 def strip_ws(c: Column) -> Column:
     """`c` without white space of any kind at either end; null stays null."""
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def strip_ws_sql(c: str) -> str:
@@ -39,7 +43,7 @@ LINE_END_RE2 = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 def count_words(c: Column) -> Column:
     """Characters without white space."""
-    return F.length(F.regexp_replace(c, f"{WS_CLASS}+", ""))
+    return F.length(F.translate(c, WS_CHARS, ""))
 
 
 def lines(c: Column) -> Column:
@@ -49,8 +53,16 @@ def lines(c: Column) -> Column:
 
 
 def narration(c: Column) -> Column:
-    """A text without quoted speech and headings."""
-    return F.regexp_replace(F.regexp_replace(c, packs.SPEECH, ""), "(?md)^#.*$", "")
+    """A text without quoted speech and headings.
+
+    What follows the last closing quote holds no whole speech and is left out of the search: every quote that opens
+    there would be followed to the text's end.
+    """
+    def silent(t: Column) -> Column:
+        head = F.regexp_extract(t, "(?s)\\A.*[”」』]", 0)
+        return bound(head, lambda h: F.concat(F.regexp_replace(h, packs.SPEECH, ""), F.substring(t, F.length(h) + 1, F.lit(0x7FFFFFFF))))
+
+    return F.regexp_replace(silent(c), "(?md)^#.*$", "")
 
 
 def sentences(c: Column, least: int = 2) -> Column:
@@ -98,9 +110,27 @@ def guarded(pattern: str) -> str:
     return f"(?=[{''.join(re.escape(c) for c in sorted(chars))}])(?:{pattern})"
 
 
+@lru_cache(256)
+def parted(pattern: str) -> tuple[str, str]:
+    """(single characters, other pattern) that an alternation of words can be counted by one after the other.
+
+    A word that begins with an earlier one is never met. The characters that are words by themselves and stand in no longer
+    word can overlap none, so their counts add up.
+    """
+    words = pattern.split("|")
+    if not all(words) or any(re.escape(w) != w for w in words):
+        return "", pattern
+    met = [w for i, w in enumerate(words) if not any(w.startswith(v) for v in words[:i])]
+    longer = "".join(w for w in met if len(w) > 1)
+    single = [w for w in met if len(w) == 1 and w not in longer]
+    return "".join(single), "|".join(w for w in met if w not in single)
+
+
 def hits(c: Column, pattern: str) -> Column:
     """How often a pattern without groups of its own matches."""
-    return F.regexp_count(c, F.lit(guarded(pattern)))
+    single, rest = parted(pattern)
+    many = F.regexp_count(c, F.lit(guarded(rest))) if rest else F.lit(0)
+    return F.length(c) - F.length(F.translate(c, single, "")) + many if single else many
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrollwork.functions import packs
 from scrollwork.functions.text import dna, fingerprint, jaccard, strip_ws
+from scrollwork.operators.sequence import next_in_group, running
 
 
 def current(analysis: DataFrame, *cols: str) -> DataFrame:
@@ -138,8 +139,11 @@ def thread_buckets(foreshadows: DataFrame, books: DataFrame) -> DataFrame:
     t = live_threads(foreshadows, books).where("status in ('planned', 'planted', 'advanced') and now is not null")
     left = F.col("deadline_chapter") - F.col("now")
     bucket = F.when((F.col("status") == "planned") & (F.col("planned_chapter") < F.col("now")), "missed").when((F.col("status") == "planned") & (F.col("planned_chapter") == F.col("now")), "plant_now").when(left <= 3, "must").when(left <= 10, "soon").otherwise("later")
-    rank = F.row_number().over(Window.partitionBy("book", "bucket").orderBy(F.coalesce("tier", F.lit(9)), F.coalesce("deadline_chapter", F.lit(9999)), "id"))
-    return t.withColumn("bucket", bucket).withColumn("rank", rank).select("book", "bucket", "rank", "id", "tier", "deadline_chapter")
+    tier, due = F.coalesce("tier", F.lit(9)), F.coalesce("deadline_chapter", F.lit(9999))
+    # Blocks rise with the order: tier, then sixteen chapters of deadlines, then what the id begins with.
+    block = F.concat(F.lpad((tier + 1_000_000).cast("string"), 8, "0"), F.lpad((F.floor(due / 16) + 1_000_000).cast("string"), 8, "0"), F.when(due == 9999, F.substring("id", 1, 4)).otherwise(""))
+    x = running(t.withColumn("bucket", bucket), ["book", "bucket"], block, [tier, due, F.col("id")], F.lit(1), "rank")
+    return x.withColumn("rank", F.col("rank").cast("int")).select("book", "bucket", "rank", "id", "tier", "deadline_chapter")
 
 
 def tier_counts(foreshadows: DataFrame, books: DataFrame) -> DataFrame:
@@ -210,44 +214,50 @@ def next_ids(characters: DataFrame) -> DataFrame:
 # -- sequences of chapters ----------------------------------------------------------------------
 
 
+def _spans(a: DataFrame, n: int, *cols: str) -> DataFrame:
+    """Every chapter as a member of the spans of `n` chapters that it can be in: (book, chapter of the span's start, cols).
+
+    Aggregated by (book, chapter), so no book is one group.
+    """
+    return a.select("book", F.explode(F.sequence(F.col("chapter") - (n - 1), F.col("chapter"))).alias("chapter"), *cols)
+
+
 def type_streaks(analysis: DataFrame) -> DataFrame:
     """The first three chapters in a row, without a gap, of the same slow type: (book, chapter, type)."""
-    w = Window.partitionBy("book").orderBy("chapter")
-    a = current(analysis, "type").withColumns({"n2": F.lead("chapter", 2).over(w), "t1": F.lead("type", 1).over(w), "t2": F.lead("type", 2).over(w)})
-    a = a.where("type in ('过渡', '关系', '线索') and t1 = type and t2 = type and n2 = chapter + 2")
+    a = current(analysis, "type").where("type in ('过渡', '关系', '线索')")
+    a = _spans(a, 3, "type").groupBy("book", "chapter", "type").agg(F.count(F.lit(1)).alias("n")).where("n = 3")
     return a.groupBy("book").agg(F.min_by(F.struct("chapter", "type"), "chapter").alias("r")).select("book", "r.*")
 
 
 def no_climax(analysis: DataFrame, span: int = 10) -> DataFrame:
     """Books whose last `span` chapters are all there and have no climax."""
-    w = Window.partitionBy("book").orderBy("chapter").rangeBetween(-(span - 1), 0)
-    a = current(analysis, "type").withColumns({"n": F.count(F.lit(1)).over(w), "k": F.count_if(F.col("type") == "高潮").over(w)})
-    last = a.groupBy("book").agg(F.max_by(F.struct("chapter", "n", "k"), "chapter").alias("r")).select("book", "r.*")
-    return last.where(f"n = {span} and k = 0").select("book", "chapter")
+    a = current(analysis, "type")
+    last = a.groupBy("book").agg(F.max("chapter").alias("_last"))
+    a = a.join(last, "book").where(F.col("chapter") > F.col("_last") - span)
+    a = a.groupBy("book").agg(F.max("_last").alias("chapter"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "高潮").alias("k"))
+    return a.where(f"n = {span} and k = 0").select("book", "chapter")
 
 
 def conflict_runs(analysis: DataFrame) -> DataFrame:
     """The first run of three chapters of conflict 4 or more, and of five of 2 or less: (book, code, chapter)."""
     a = current(analysis, "conflict").where("conflict between 1 and 5")
-    w = Window.partitionBy("book").orderBy("chapter")
-    hi, lo = w.rangeBetween(0, 2), w.rangeBetween(0, 4)
-    a = a.withColumns({"n3": F.count(F.lit(1)).over(hi), "m3": F.min("conflict").over(hi), "n5": F.count(F.lit(1)).over(lo), "m5": F.max("conflict").over(lo)})
-    f = a.where("n3 = 3 and m3 >= 4").groupBy("book").agg(F.min("chapter").alias("chapter")).withColumn("code", F.lit("conflict_fatigue"))
-    s = a.where("n5 = 5 and m5 <= 2").groupBy("book").agg(F.min("chapter").alias("chapter")).withColumn("code", F.lit("conflict_slump"))
-    return f.unionByName(s)
+    runs = []
+    for code, n, test in (("conflict_fatigue", 3, "conflict >= 4"), ("conflict_slump", 5, "conflict <= 2")):
+        full = _spans(a.where(test), n).groupBy("book", "chapter").agg(F.count(F.lit(1)).alias("n")).where(f"n = {n}")
+        runs.append(full.groupBy("book").agg(F.min("chapter").alias("chapter")).withColumn("code", F.lit(code)))
+    return runs[0].unionByName(runs[1])
 
 
 def gain_only_streaks(analysis: DataFrame) -> DataFrame:
     """Chapters with gains and no costs right after another such chapter."""
-    a = current(analysis, "gains", "costs").where("size(gains) > 0 and coalesce(size(costs), 0) <= 0")
-    return a.withColumn("before", F.lag("chapter").over(Window.partitionBy("book").orderBy("chapter"))).where("chapter = before + 1").select("book", "chapter")
+    a = current(analysis, "gains", "costs").where("size(gains) > 0 and coalesce(size(costs), 0) <= 0").select("book", "chapter")
+    return a.join(a.select("book", (F.col("chapter") + 1).alias("chapter")), ["book", "chapter"], "left_semi")
 
 
 def gaps(analysis: DataFrame) -> DataFrame:
     """Missing chapters between the first and the last of a book, as ranges: (book, from_chapter, to_chapter)."""
-    c = analysis.where("chapter is not null").select("book", "chapter").distinct()
-    n = F.lead("chapter").over(Window.partitionBy("book").orderBy("chapter"))
-    return c.withColumn("n", n).where("n > chapter + 1").select("book", (F.col("chapter") + 1).alias("from_chapter"), (F.col("n") - 1).alias("to_chapter"))
+    c = next_in_group(analysis.where("chapter is not null").select("book", "chapter").distinct(), ["book"], "chapter", "n")
+    return c.where("n > chapter + 1").select("book", (F.col("chapter") + 1).alias("from_chapter"), (F.col("n") - 1).alias("to_chapter"))
 
 
 def tension_lines(analysis: DataFrame, last: int = 10) -> DataFrame:
@@ -262,9 +272,8 @@ def tension_lines(analysis: DataFrame, last: int = 10) -> DataFrame:
 def hook_overlap(analysis: DataFrame) -> DataFrame:
     """Overlap of each chapter's hook with the one of the chapter before: (book, chapter, overlap)."""
     a = current(analysis, "hook_dna").select("book", "chapter", dna(F.col("hook_dna")).alias("d"))
-    w = Window.partitionBy("book").orderBy("chapter")
-    a = a.withColumns({"p": F.lag("d").over(w), "pc": F.lag("chapter").over(w)})
-    return a.where("pc = chapter - 1").select("book", "chapter", jaccard(F.col("d"), F.col("p")).alias("overlap"))
+    before = a.select("book", (F.col("chapter") + 1).alias("chapter"), F.col("d").alias("p"))
+    return a.join(before, ["book", "chapter"]).select("book", "chapter", jaccard(F.col("d"), F.col("p")).alias("overlap"))
 
 
 def type_counts(analysis: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrollwork.functions.text import count_words, strip_ws
 from scrollwork.operators import ledger, metrics
+from scrollwork.operators.sequence import running
 from scrollwork.sources import files
 
 
@@ -105,13 +106,12 @@ def budget(now: Column) -> Column:
 def folded(sections: DataFrame, caps: dict[str, int], scale: Column) -> DataFrame:
     """Keep each section's rows while their lengths sum to at most its cap times `scale`; the first row always stays.
 
-    sections: (book, section, ord, text). Adds `used` and leaves out what is folded away.
+    sections: (book, section, ord, text). Adds `used` and leaves out what is folded away. Lengths are summed in blocks of `ord`.
     """
     cap = F.lit(None).cast("int")
     for k, v in caps.items():
         cap = F.when(F.col("section") == k, F.floor(F.lit(v) * scale)).otherwise(cap)
-    w = Window.partitionBy("book", "section").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    x = sections.withColumn("used", F.sum(F.length("text")).over(w)).withColumn("cap", cap)
+    x = running(sections.withColumn("cap", cap), ["book", "section"], F.floor(F.col("ord") / 4096), ["ord"], F.length("text"), "used")
     return x.where((F.col("used") <= F.col("cap")) | F.col("cap").isNull() | (F.col("used") == F.length("text")))
 
 

@@ -7,13 +7,12 @@ cross texts shuffle, by book.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrollwork.functions import packs
-from scrollwork.functions.text import count_words, hits, lines, narration, sentences, strip_ws
+from scrollwork.functions.text import bound, count_words, grams, hits, lines, narration, sentences, strip_ws
+from scrollwork.operators.sequence import coalesce_intervals, numbered, previous
 
 
 def _text(docs: DataFrame, *more: str) -> DataFrame:
@@ -181,29 +180,31 @@ def chapters(docs: DataFrame) -> DataFrame:
 
 def frame_runs(docs: DataFrame, least: int = 3) -> DataFrame:
     """Runs of `least` or more present chapters of a book that open, or close, the same way."""
-    f = frames(chapters(docs), "book", "chapter").select("book", "chapter", F.explode(F.array(F.struct(F.lit("opening").alias("side"), F.col("opening").alias("kind")), F.struct(F.lit("closing").alias("side"), F.col("closing").alias("kind")))).alias("x")).select("book", "chapter", "x.side", "x.kind")
-    w = Window.partitionBy("book", "side").orderBy("chapter")
-    f = f.withColumn("fresh", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1)).withColumn("g", F.sum("fresh").over(w))
-    r = f.groupBy("book", "side", "kind", "g").agg(F.min("chapter").alias("first_chapter"), F.max("chapter").alias("last_chapter"), F.count(F.lit(1)).alias("n_chapters"))
-    return r.where(f"n_chapters >= {least} and kind not in ('other', 'empty')").drop("g")
+    f = frames(numbered(chapters(docs), ["book"], "chapter", "place"), "book", "chapter", "place")
+    f = f.select("book", "chapter", "place", F.explode(F.array(F.struct(F.lit("opening").alias("side"), F.col("opening").alias("kind")), F.struct(F.lit("closing").alias("side"), F.col("closing").alias("kind")))).alias("x")).select("book", "chapter", "x.side", "x.kind", "place", (F.col("place") + 1).alias("then"))
+    runs = coalesce_intervals(f, ["book", "side"], "kind", "place", "then").where((F.col("then") - F.col("place") >= least) & ~F.col("kind").isin("other", "empty"))
+    at = f.select("book", "side", "place", "chapter").distinct()
+    r = runs.join(at.withColumnRenamed("chapter", "first_chapter"), ["book", "side", "place"])
+    r = r.join(at.select("book", "side", (F.col("place") + 1).alias("then"), F.col("chapter").alias("last_chapter")), ["book", "side", "then"])
+    return r.select("book", "side", "kind", "first_chapter", "last_chapter", (F.col("then") - F.col("place")).cast("bigint").alias("n_chapters"))
 
 
 def quota_windows(docs: DataFrame, window: int = 3) -> DataFrame:
     """Chapters that end a window of present chapters without any broken-off speech or setback."""
     c = chapters(docs)
     q = counts(c).select("doc_id", (F.col("n_cut_off") + F.col("n_interrupt")).alias("broken"), F.col("n_setback").alias("setback")).join(c.select("doc_id", "book", "chapter"), "doc_id")
-    w = Window.partitionBy("book").orderBy("chapter").rowsBetween(-(window - 1), 0)
-    q = q.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("b", F.sum("broken").over(w)).withColumn("s", F.sum("setback").over(w))
-    return q.where((F.col("n") == window) & (F.col("b") == 0) & (F.col("s") == 0)).select("book", "chapter")
+    q = numbered(q, ["book"], "chapter", "place")
+    # Every chapter goes to the windows it is in, so no book is one group.
+    w = q.select("book", F.explode(F.sequence(F.col("place"), F.col("place") + (window - 1))).alias("place"), "broken", "setback").groupBy("book", "place").agg(F.count(F.lit(1)).alias("n"), F.sum("broken").alias("b"), F.sum("setback").alias("s"))
+    return q.select("book", "place", "chapter").join(w.where((F.col("n") == window) & (F.col("b") == 0) & (F.col("s") == 0)), ["book", "place"]).select("book", "chapter")
 
 
 def side_flips(docs: DataFrame, parts: tuple[str, ...] = ("手", "臂", "肩", "腿", "眼")) -> DataFrame:
     """Chapters where the side mentioned most for a part of the body differs from the chapter before that has one."""
     cols = [F.struct(F.lit(p).alias("part"), hits(F.col("text"), f"左.{{0,1}}{p}").alias("l"), hits(F.col("text"), f"右.{{0,1}}{p}").alias("r")) for p in parts]
     x = chapters(docs).select("book", "chapter", F.explode(F.array(*cols)).alias("x")).select("book", "chapter", "x.*").where("l <> r")
-    x = x.withColumn("side", F.when(F.col("l") > F.col("r"), "left").otherwise("right"))
-    w = Window.partitionBy("book", "part").orderBy("chapter")
-    return x.withColumn("before", F.lag("side").over(w)).where("before <> side").select("book", "part", "chapter", "before", "side")
+    x = x.select("book", "chapter", "part", F.when(F.col("l") > F.col("r"), "left").otherwise("right").alias("side"))
+    return previous(x, ["book", "part"], "chapter", {"before": "side"}).where("before <> side").select("book", "part", "chapter", "before", "side")
 
 
 def duplicate_sentences(docs: DataFrame, least: int = 12) -> DataFrame:
@@ -228,29 +229,31 @@ def endings(docs: DataFrame) -> DataFrame:
     return d.where(F.length("ending").between(4, 40) & F.col("ending").rlike(packs.APHORISM))
 
 
-def scenes(docs: DataFrame, pattern: str) -> DataFrame:
-    """Every match of `pattern` with up to 12 characters before and 16 after it, one row each, also where excerpts overlap."""
-    parts = F.split(F.col("text"), pattern)
-    m = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-    d = _text(docs).select("doc_id", parts.alias("parts"), m.alias("m")).where(F.size("m") > 0)
-    before = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(""), lambda a, k: F.concat(a, F.element_at("parts", k + 1), F.when(k < i, F.element_at("m", k + 1)).otherwise("")))
-    after = lambda i: F.aggregate(F.sequence(i + 1, F.size("m")), F.lit(""), lambda a, k: F.concat(a, F.element_at("parts", k + 1), F.when(k < F.size("m"), F.element_at("m", k + 1)).otherwise("")))
-    rows = F.transform("m", lambda x, i: F.struct((i + 1).alias("no"), x.alias("hit"), F.substring(before(i), -12, 12).alias("pre"), F.substring(after(i), 1, 16).alias("post")))
-    return d.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.no", "r.hit", F.concat(F.when(F.length("r.pre") > 0, F.col("r.pre")).otherwise(""), "r.hit", "r.post").alias("excerpt"))
+def scenes(docs: DataFrame, pattern: str, before: int = 12, after: int = 16) -> DataFrame:
+    """Every match of `pattern` with up to `before` characters in front and `after` behind it, one row each, also where excerpts overlap.
+
+    Places come from running lengths of the pieces between matches; the text is cut once for each match.
+    """
+    d = _text(docs).select("doc_id", "text", F.split(F.col("text"), pattern).alias("parts"), F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)).alias("m")).where(F.size("m") > 0)
+    step = F.zip_with(F.transform("parts", F.length), F.transform("m", F.length), lambda p, m: F.struct(p.alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
+    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(step, init, lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["p"])).alias("starts")), lambda a: a["starts"])
+    x = d.select("doc_id", "text", F.posexplode(F.arrays_zip("m", F.slice(starts, F.lit(1), F.size("m")).alias("at"))).alias("no", "r"))
+    start = F.greatest(F.lit(0), F.col("r.at") - before)
+    return x.select("doc_id", (F.col("no") + 1).alias("no"), F.col("r.m").alias("hit"), F.substring("text", start + 1, F.col("r.at") - start + F.length("r.m") + after).alias("excerpt"))
 
 
 def voices(docs: DataFrame, names: DataFrame, width: int = 20, least: int = 8) -> DataFrame:
     """Speech per speaker: lines, characters, exclamations, literary and colloquial words.
 
     A quote belongs to a name of the book (names: book, name) if exactly one of them stands in the
-    `width` characters before it.
+    `width` characters before it. What stands there is cut into pieces of a name's length and met by equality.
     """
     pat = f"([^”」]{{0,{width}}})" + packs.QUOTE
     d = docs.where("book is not null and text is not null").select("doc_id", "book", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pat), F.lit(1)).alias("pre"), F.regexp_extract_all("text", F.lit(pat), F.lit(2)).alias("said"))).alias("pos", "q")).select("doc_id", "book", "pos", "q.pre", "q.said")
-    hit = d.join(names.select(F.col("book").alias("b"), "name").where(F.length("name").between(2, 4)).distinct(), (F.col("book") == F.col("b")) & F.col("pre").contains(F.col("name")))
-    one = hit.groupBy("doc_id", "book", "pos", "said").agg(F.min("name").alias("speaker"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    return one.groupBy("book", "speaker").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("said")).alias("n_chars"), F.sum(hits(F.col("said"), "[！!]")).alias("n_excl"), F.sum(hits(F.col("said"), packs.LITERARY)).alias("n_literary"), F.sum(hits(F.col("said"), packs.COLLOQUIAL)).alias("n_colloquial")).where(f"n_lines >= {least}")
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+    pieces = bound(F.col("pre"), lambda p: F.array_distinct(F.concat(grams(p, 2), grams(p, 3), grams(p, 4))))
+    met = d.select("doc_id", "book", "pos", F.explode(pieces).alias("name")).join(names.select("book", "name").where(F.length("name").between(2, 4)).distinct(), ["book", "name"])
+    one = met.groupBy("doc_id", "book", "pos").agg(F.min("name").alias("speaker"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    said = d.select("doc_id", "pos", F.length("said").alias("chars"), hits(F.col("said"), "[！!]").alias("excl"), hits(F.col("said"), packs.LITERARY).alias("literary"), hits(F.col("said"), packs.COLLOQUIAL).alias("colloquial"))
+    one = one.join(said, ["doc_id", "pos"])
+    return one.groupBy("book", "speaker").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("chars").alias("n_chars"), F.sum("excl").alias("n_excl"), F.sum("literary").alias("n_literary"), F.sum("colloquial").alias("n_colloquial")).where(f"n_lines >= {least}")

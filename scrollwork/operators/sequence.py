@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,42 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: str, out: str, bloc
     return inner.join(h, cond, "left").select(*cols, F.coalesce("_nx", "_after").alias(out))
 
 
+def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str | Column], value: Column, out: str) -> DataFrame:
+    """`df` with `out`: the sum of `value` over the rows of the group up to this one.
+
+    `block` must rise with `order`; each block is summed by itself, and only its total goes on to the next ones. Rows with a null
+    key have no place.
+    """
+    on = [*keys, "_blk"]
+    x = df.withColumn("_blk", block).withColumn("_v", value)
+    whole = x.groupBy(*on).agg(F.sum("_v").alias("_all"))
+    whole = whole.withColumn("_before", F.coalesce(F.sum("_all").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_all")
+    w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn(out, F.sum("_v").over(w)).join(whole.hint("shuffle_hash"), on).withColumn(out, F.col(out) + F.col("_before")).drop("_blk", "_v", "_before")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, out: str, block: int = 256) -> DataFrame:
+    """`df` with `out`: the row's number, from 1, in its group by the integer column `order`."""
+    x = running(df, keys, F.floor(F.col(order) / F.lit(block)), [order], F.lit(1), out)
+    return x.withColumn(out, F.col(out).cast("int"))
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], block: int = 256) -> DataFrame:
+    """`df` with columns of the row before in its group: cols names them, {new name: column}. (keys, order) must be unique.
+
+    From block to block goes one row with the block's last values. Rows with a null key have no place.
+    """
+    on = [*keys, "_blk"]
+    x = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
+    here = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    tails = x.groupBy(*on).agg(F.max_by(here, order).alias("_tail"))
+    tails = tails.select(*on, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_back"))
+    w = Window.partitionBy(*on).orderBy(order)
+    x = x.withColumn("_p", F.lag(here).over(w)).join(tails.hint("shuffle_hash"), on)
+    p = F.coalesce("_p", "_back")
+    return x.select(*df.columns, *[p[n].alias(n) for n in cols])
+
+
 def coalesce_intervals(df: DataFrame, keys: Sequence[str], value: str, start: str, end: str, block: int = 256, before: str | None = None) -> DataFrame:
     """Join touching intervals of the same value: rows (keys, value, start, end), end null where open.
 

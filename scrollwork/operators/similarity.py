@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrollwork.functions import packs
 from scrollwork.functions.text import WS_CLASS, grams, sentences
 from scrollwork.operators.metrics import chapters
+from scrollwork.operators.sequence import numbered
 
 
 def shingles(docs: DataFrame, n: int = 3) -> DataFrame:
@@ -23,7 +24,7 @@ def repeats(docs: DataFrame, window: int = 5) -> DataFrame:
     Chapters are numbered within the book and every gram is sent to the places of its followers, so the
     join is on equal keys (book, place, gram) and not on a range. Pairs that share nothing are kept.
     """
-    c = chapters(docs).select("book", "chapter").withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy("chapter")))
+    c = numbered(chapters(docs).select("book", "chapter"), ["book"], "chapter", "place")
     g = shingles(docs).join(c, ["book", "chapter"])
     total = g.groupBy("book", "chapter", "place").agg(F.sum("c").alias("total"))
     ahead = g.select("book", F.col("chapter").alias("other"), "h", F.col("c").alias("oc"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.col("place") + k)).alias("place"))
@@ -39,13 +40,19 @@ def repeat_peaks(docs: DataFrame) -> DataFrame:
     return r.groupBy("book", "chapter").agg(F.max(F.struct("share", "other")).alias("m")).select("book", "chapter", F.col("m.other").alias("other"), F.col("m.share").alias("share"))
 
 
-def repeat_baseline(docs: DataFrame, factor: float = 1.8, floor: float = 0.15) -> DataFrame:
-    """Per book the upper median of all pairs' shares and the threshold max(floor, factor * median)."""
-    r = repeats(docs).withColumn("share", F.col("shared") / F.col("total"))
-    w = Window.partitionBy("book").orderBy("share", "chapter", "other")
-    r = r.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("book")))
-    r = r.where(F.col("i") == F.floor(F.col("n") / 2) + 1)
-    return r.select("book", F.col("n").alias("n_pairs"), F.col("share").alias("median"), F.greatest(F.lit(floor), F.lit(factor) * F.col("share")).alias("threshold"))
+def repeat_baseline(docs: DataFrame, factor: float = 1.8, floor: float = 0.15, cells: int = 4096) -> DataFrame:
+    """Per book the upper median of all pairs' shares and the threshold max(floor, factor * median).
+
+    Shares are counted in `cells` of equal width; the equal ones of the cell that holds the middle are then counted alone.
+    """
+    r = repeats(docs).select("book", (F.col("shared") / F.col("total")).alias("share"))
+    r = r.groupBy("book", F.floor(F.col("share") * cells).alias("cell"), "share").agg(F.count(F.lit(1)).alias("k"))
+    upto = lambda *by: Window.partitionBy("book", *by).rowsBetween(Window.unboundedPreceding, 0)
+    whole = r.groupBy("book", "cell").agg(F.sum("k").alias("c")).withColumn("end", F.sum("c").over(upto().orderBy("cell")))
+    n = whole.groupBy("book").agg(F.sum("c").alias("n"))
+    mid = whole.join(n, "book").withColumn("want", F.floor(F.col("n") / 2) + 1).where("end >= want and end - c < want").select("book", "cell", "n", (F.col("want") - F.col("end") + F.col("c")).alias("want"))
+    x = r.join(mid, ["book", "cell"]).withColumn("end", F.sum("k").over(upto().orderBy("share"))).where("end >= want and end - k < want")
+    return x.select("book", F.col("n").alias("n_pairs"), F.col("share").alias("median"), F.greatest(F.lit(floor), F.lit(factor) * F.col("share")).alias("threshold"))
 
 
 def repeated_sentences(docs: DataFrame, least: int = 12) -> DataFrame:

@@ -15,14 +15,18 @@ DECISIONS = ("structure", "character", "plot", "style", "rule", "other")
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Write events partitioned by (book, chapter), replacing just the chapters they hold: doing it twice changes nothing."""
-    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book", "chapter").parquet(path)
+    """Write events partitioned by (book, chapter), replacing just the chapters they hold: doing it twice changes nothing.
+
+    A chapter's events go to one task, so that it has one file and not one per task.
+    """
+    events.repartition("book", "chapter").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book", "chapter").parquet(path)
 
 
 def drop_chapter(events: DataFrame, path: str, book: str, chapter: int) -> None:
     """Undo a chapter: its partition is removed, every view over the events follows."""
     jvm = events.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/book={book}/chapter={chapter}")
+    named = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(book)
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/book={named}/chapter={chapter}")
     p.getFileSystem(events.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
