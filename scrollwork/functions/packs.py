@@ -63,6 +63,15 @@ COUNT_LIMITS = {"piled": 2, "notbut": 2, "pacer_phrase": 2, "emotion": 2, "theme
 NARRATION_LIMITS = {"buzz": 1.0, "sci": 2.5}
 SHORT, LONG, COMMAS, STD_LEAST, SHORT_LEAST = 12, 60, 7, 8.0, 0.15
 CHAPTER_TYPES = ("推进", "高潮", "过渡", "关系", "线索", "代价")
+#: What each type of chapter needs and what it should avoid, in our own words.
+GUIDE = {
+    "推进": ("a plot point that changes the situation", "explanation without movement"),
+    "高潮": ("conflict of four or more and a consequence that lasts", "victory without a price"),
+    "过渡": ("a change of relation, world or mood", "the payoff of a main thread"),
+    "关系": ("a relation that changes in action or speech", "change that is only told"),
+    "线索": ("a thread or a term, and a new question", "every question answered at once"),
+    "代价": ("a loss that is named and felt later", "a loss made good at once"),
+}
 STALE = {1: 35, 2: 12, 3: 4}
 SCOPE = {1: "book", 2: "arc", 3: "chapter"}
 #: The default ban list, plain phrases and then patterns.

@@ -65,32 +65,18 @@ def related(analysis: DataFrame, foreshadows: DataFrame, books: DataFrame, docum
     cast that is `quiet` chapters away was last seen, the last mention in an event of up to four possessions that its plan
     names, and where setups were made that are `quiet` chapters old and that no later chapter took up. Only analysed
     chapters, not the last `skip`, at most `most` per book, the latest first: (book, chapter, reasons, rank)."""
-    now = books.groupBy("book").agg(F.max("current_chapter").alias("now")).where("now is not null")
-    a = ledger.current(analysis, "sets_up", "depends_on", "plot_points")
-    plans = documents.where("doc_kind = 'plan' and text is not null").join(now, (documents["book"] == now["book"]) & (documents["chapter"] == now["now"])).select(now["book"], "now", "doc_id", "text")
-    plans = plans.groupBy("book").agg(F.max("now").alias("now"), F.max_by("text", "doc_id").alias("text"), F.max("doc_id").alias("doc_id"))
-    plan = plans.select("book", "text")
-
-    named = F.col("text").contains(F.col("id")) | F.coalesce((F.col("title") != "") & F.col("text").contains(F.col("title")), F.lit(False))
-    planted = F.when(F.col("planted_chapter") != 0, F.col("planted_chapter")).otherwise(F.col("planned_chapter"))
-    threads = ledger.live_threads(foreshadows, books).join(plan, "book").where(named).select("book", planted.alias("chapter"), F.concat(F.lit("thread:"), "id").alias("reason"))
+    from scrollwork.operators import brief
 
+    now = books.groupBy("book").agg(F.max("current_chapter").alias("now")).where("now is not null")
+    a = ledger.current(analysis, "title")
+    plans = brief.plans_now(books, documents)
+    reason = lambda kind, c: F.concat(F.lit(kind + ":"), c).alias("reason")
+    threads = brief.plan_threads(foreshadows, books, documents).select("book", "chapter", reason("thread", "id"))
     people = ledger.latest_characters(characters).where("deleted_at is null")
     cast = files.plan_cast(plans).join(plans.select("doc_id", "book", "now"), "doc_id").join(ledger.owners(characters), ["book", "name"]).select("book", "now", F.col("character_id").alias("id")).distinct()
-    absent = cast.join(people.select("book", "id", "last_chapter"), ["book", "id"]).where(F.col("now") - F.col("last_chapter") >= quiet).select("book", F.col("last_chapter").alias("chapter"), F.concat(F.lit("absent:"), "id").alias("reason"))
-
-    items = people.select("book", F.explode(F.from_json(F.col("state")["possessions"], "array<string>")).alias("item")).where("length(item) >= 2").distinct()
-    items = items.join(plan, "book").where(F.col("text").contains(F.col("item"))).withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy("item"))).where("r <= 4").select("book", "item")
-    events = a.join(now, "book").where(F.col("chapter") < F.col("now") - skip).select("book", "chapter", F.explode("plot_points").alias("event"))
-    held = items.join(events, "book").where(F.col("event").contains(F.col("item"))).groupBy("book", "item").agg(F.max("chapter").alias("chapter")).select("book", "chapter", F.concat(F.lit("item:"), "item").alias("reason"))
-
-    earlier = a.join(now, "book").where("chapter < now")
-    owed = earlier.where(F.col("now") - F.col("chapter") >= quiet).select("book", "chapter", F.explode("sets_up").alias("s")).where("s <> ''").distinct()
-    # An entry names its chapter, then what it takes up; some go on with what follows from it.
-    core = F.trim(F.regexp_replace(F.split(F.col("d"), "->")[0], "^\\s*第?\\s*[0-9]+\\s*章?\\s*[:：]", ""))
-    taken = earlier.select("book", F.col("chapter").alias("at"), F.explode("depends_on").alias("d")).select("book", "at", F.substring(core, 1, 12).alias("core")).where("core <> ''").distinct()
-    met = (owed["book"] == taken["book"]) & (taken["at"] >= owed["chapter"]) & owed["s"].startswith(taken["core"])
-    setups = owed.join(taken, met, "left_anti").select("book", "chapter", F.concat(F.lit("setup:"), "s").alias("reason"))
+    absent = cast.join(people.select("book", "id", "last_chapter"), ["book", "id"]).where(F.col("now") - F.col("last_chapter") >= quiet).select("book", F.col("last_chapter").alias("chapter"), reason("absent", "id"))
+    held = brief.plan_items(analysis, characters, books, documents, skip=skip).select("book", "chapter", reason("item", "item"))
+    setups = brief.open_setups(analysis, books, quiet).select("book", "chapter", reason("setup", "setup"))
 
     x = threads.unionByName(absent).unionByName(held).unionByName(setups).join(now, "book").where(F.col("chapter") < F.col("now") - skip)
     x = x.join(a.select("book", "chapter"), ["book", "chapter"], "left_semi")
@@ -161,6 +147,35 @@ def context(analysis: DataFrame, characters: DataFrame, foreshadows: DataFrame,
     return folded(rows, {k: v for k, v in CAPS.items() if k != "skeleton"}, F.greatest(F.lit(0.3), budget(F.col("now")) / 8000)).select("book", "section", "ord", "text", "used")
 
 
+def pack(analysis: DataFrame, characters: DataFrame, foreshadows: DataFrame, books: DataFrame, organizations: DataFrame, documents: DataFrame) -> DataFrame:
+    """`context` with what the plan calls for: (book, section, ord, text, used).
+
+    Further sections: the type's card, active organizations, terms not revealed yet, chapters worth rereading, the latest eight
+    open setups, chunks called to mind and recent events. They are short by themselves and have no cap; `used` sums their lengths.
+    """
+    from scrollwork.operators import brief
+
+    def section(df: DataFrame, name: str, order: str | Column, text: Column) -> DataFrame:
+        return df.select("book", F.lit(name).alias("section"), (F.col(order) if isinstance(order, str) else order).cast("bigint").alias("ord"), text.alias("text"))
+
+    number = F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("999999999"))
+    setups = brief.open_setups(analysis, books).withColumn("rank", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("chapter"), "setup"))).where("rank <= 8")
+    more = [
+        section(brief.type_cards(analysis, books, documents), "type", F.lit(0), F.concat_ws(" | ", "type", "needs", "avoids", "warning")),
+        section(brief.active_organizations(organizations, characters, books, documents), "organizations", number, F.concat_ws(" ", "id", "name", "status", "members")),
+        section(brief.plan_terms(analysis, books, documents), "terms", "rank", F.concat_ws(" ", "term", "first_chapter")),
+        section(related(analysis, foreshadows, books, documents, characters), "related", "rank", F.concat_ws(" ", "chapter", "reasons")),
+        section(setups, "setups", "rank", F.concat_ws(" ", "chapter", "setup")),
+        section(brief.recall(documents, books), "recall", "rank", F.concat_ws("/", "chapter", "chunk")),
+        section(brief.recent_events(analysis, books), "events", "rank", F.concat_ws(" ", "chapter", "event")),
+    ]
+    rows = more[0]
+    for m in more[1:]:
+        rows = rows.unionByName(m)
+    rows = folded(rows.where("text <> ''"), {}, F.lit(1.0)).select("book", "section", "ord", "text", "used")
+    return context(analysis, characters, foreshadows, books).unionByName(rows)
+
+
 def next_action(books: DataFrame, documents: DataFrame, analysis: DataFrame) -> DataFrame:
     """What each book needs next: plan, write, analyse, review or go on, for its current chapter."""
     b = books.groupBy("book").agg(F.max("current_chapter").alias("chapter")).where("chapter is not null")

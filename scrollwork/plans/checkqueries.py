@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrollwork.functions import packs
-from scrollwork.functions.text import LINE_END_RE2
+from scrollwork.functions.text import LINE_END_RE2, strip_ws_sql
 from scrollwork.operators import checks, lookup
 from scrollwork.plans.ledgerqueries import _DNA, _LATEST, _LIVE, CUR
 from scrollwork.plans.ledgerqueries import ORACLE as _L
@@ -42,6 +42,7 @@ QUERIES = {f"CHK_{g}": _group(g) for g in checks.GROUPS} | {
     "LK-08_recent": _q(lookup.recent, "analysis"),
     "CP-04_related": _q(lookup.related, "analysis", "foreshadows", "books", "documents", "characters"),
     "CP-01_context": _q(lookup.context, "analysis", "characters", "foreshadows", "books"),
+    "CP-01_pack": _q(lookup.pack, "analysis", "characters", "foreshadows", "books", "organizations", "documents"),
     "LG-20_next_action": _q(lookup.next_action, "books", "documents", "analysis"),
     "CP-02_budget": _q(lambda b: b.where("current_chapter is not null").select("book", lookup.budget(F.col("current_chapter")).alias("budget")), "books"),
 }
@@ -96,15 +97,20 @@ union all {_row('gp', 'W', "'chapter_gap'", "f || '-' || t", 'f')}""",
     "LK-01_character": CUR + ", own as (select book, name, min(id) as character_id from (select book, id, name from characters union select book, id, unnest(aliases) from characters) where name is not null group by book, name having count(distinct id) = 1), nm as (select book, name from own where (book, character_id) in (select (book, character_id) from own where name = '亓远')) select distinct book, chapter, 'character' as reason from (select book, chapter, unnest(characters) as c from cur) x where exists (select 1 from nm where nm.book = x.book and nm.name = x.c.name)",
     "LK-02_threads": "select book, id from foreshadows where contains(to_json({'book': book, 'id': id, 'title': title, 'status': status})::varchar, 'abandoned')",
     "LK-08_recent": CUR + ", r as (select *, row_number() over (partition by book order by chapter desc) as k from cur) select book, chapter, title from r where k <= 3",
-    "CP-04_related": _LIVE + f", pl as (select book, planted_chapter as chapter, 'thread:' || id as reason from live where status in ('planted', 'advanced') and planted_chapter is not null), {CUR[5:]}, ow as (select book, chapter, 'setup:' || s as reason from (select book, chapter, unnest(sets_up) as s from cur) where s <> ''), x as (select distinct u.book, chapter, reason from (select * from pl union select * from ow) u join {_NOW} n on u.book = n.book where chapter < now - 8), g as (select book, chapter, string_agg(reason, ';' order by reason) as reasons, row_number() over (partition by book order by chapter desc) as rank from x group by book, chapter) select * from g where rank <= 6",
     "LG-20_next_action": _CH + ", b as (select book, max(current_chapter) as chapter from books group by book having max(current_chapter) is not null), x as (select b.*, exists (select 1 from documents p where p.doc_kind = 'plan' and p.text is not null and p.book = b.book and p.chapter = b.chapter) as pl, exists (select 1 from ch where ch.book = b.book and ch.chapter = b.chapter) as wr, exists (select 1 from documents p where p.doc_kind = 'review' and p.text is not null and p.book = b.book and p.chapter = b.chapter) as rv, exists (select 1 from analysis a where a.book = b.book and a.chapter = b.chapter) as an from b) select book, chapter, case when not pl and not wr then 'plan' when not wr then 'write' when not an then 'analyse' when not rv then 'review' else 'go_on' end as action from x",
     "CP-02_budget": "select book, least(16000, 8000 + greatest(0, current_chapter - 80) * 50) as budget from books where current_chapter is not null",
     "CP-01_context": CUR + f""", nw as (select * from {_NOW} where now is not null), a as (select cur.*, now from cur join nw using (book) where chapter < now), {_LATEST},
-s as (select book, 'skeleton' as section, (-chapter)::bigint as ord, substring(summary, 1, 150) as text from a where summary <> '' and (chapter >= now - 3 or chapter % 10 = 0)
+sk as (select book, chapter, title, substring(coalesce(summary, ''), 1, 120) as s, greatest(0.3::double, least(16000, 8000 + greatest(0, now - 80) * 50) / 8000.0::double) as scale from a where chapter % 10 = 0 and chapter > 0),
+sl as (select *, '第 ' || chapter || ' 章《' || coalesce(title, '') || '》:' || s || '…' as line from sk),
+sr as (select *, sum({_words('line')}) over (partition by book) > floor(scale * 1600) and row_number() over (partition by book order by chapter desc) > greatest(5, least(10, floor(scale * 5))) as far from sl),
+sg as (select book, (chapter - 1) // 50 as g, max(chapter) as top, string_agg({strip_ws_sql("case when s <> '' then substring(s, 1, 24) else coalesce(title, '') end")} || case when length(s) > 24 then '…' else '' end, '、' order by chapter) as told, string_agg(chapter, ',' order by chapter) as nos from sr where far group by all),
+s as (select book, 'recent' as section, (-chapter)::bigint as ord, summary as text from a where summary <> '' and chapter >= now - 3
+  union all select book, 'skeleton', (-chapter)::bigint, line from sr where not far
+  union all select book, 'skeleton', (-top)::bigint, '第 ' || (g * 50 + 1)::bigint || '-' || ((g + 1) * 50)::bigint || ' 章:' || case when {_words('told')} > 150 then substring(told, 1, 150) || '…' else told end || '(章号 ' || nos || ')' from sg
   union all select lat.book, 'cast', regexp_extract(id, '([0-9]+)$', 1)::bigint, concat_ws(' ', id, name, role) from lat join nw using (book) where deleted_at is null and (role in ('protagonist', 'major') or last_chapter >= now - 5)
   union all select book, 'rules', (chapter * 100 + u.i - 1)::bigint, u.x.rule from (select book, chapter, unnest(list_transform(world_facts, lambda x, i: struct_pack(x := x, i := i))) as u from a)
   union all select book, 'facts', (-(chapter * 100 + u.i - 1))::bigint, concat_ws('=', u.x.name, u.x.value) from (select book, chapter, unnest(list_transform(facts, lambda x, i: struct_pack(x := x, i := i))) as u from a)
   union all select book, 'threads', row_number() over (partition by book order by bucket, rank), concat_ws(' ', bucket, id) from ({_L['TK-03_thread_buckets']}) where bucket <> 'later'),
-f as (select s.book, section, ord, text, sum(length(text)) over (partition by s.book, section order by ord rows unbounded preceding) as used, floor(case section when 'skeleton' then 1600 when 'cast' then 2200 when 'rules' then 1200 when 'facts' then 700 else 1800 end * greatest(0.3::double, least(16000, 8000 + greatest(0, now - 80) * 50) / 8000.0::double)) as cap from s join nw using (book) where text <> '')
-select book, section, ord, text, used::bigint as used from f where used <= cap or used = length(text)""",
+f as (select s.book, section, ord, text, sum(length(text)) over (partition by s.book, section order by ord rows unbounded preceding) as used, floor(case section when 'cast' then 2200 when 'rules' then 1200 when 'facts' then 700 when 'threads' then 1800 end * greatest(0.3::double, least(16000, 8000 + greatest(0, now - 80) * 50) / 8000.0::double)) as cap from s join nw using (book) where text <> '')
+select book, section, ord, text, used::bigint as used from f where used <= cap or cap is null or used = length(text)""",
 }

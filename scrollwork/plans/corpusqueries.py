@@ -121,9 +121,4 @@ select rule, oh as hit_docs, od as n_docs, ot::bigint as total, density, ref_den
     "TX-28_signature": f"select doc_id, md5(regexp_replace(text, '[^{packs.HAN} A-Za-z0-9]', '', 'g')) as signature from documents where text is not null",
     "SC-17_rules": "select * from (values " + ", ".join("(" + ", ".join(_q(x) for x in r[:5]) + ")" for r in packs.RULES if packs.LEVELS[r[1]] <= 2) + ") t(id, level, mode, kind, pattern)",
     "WN-19_chunks": f"with {_CHUNKS} select doc_id, chunk, length(body) as n_chars from ck",
-    "BM25_plans": f"""with {_CHUNKS}, tk as (select doc_id, chunk, {_TOK.replace('X', 'body')} as toks from ck), st as (select count(*) as n, sum(len(toks)) as sum_dl from tk),
-q as (select doc_id as query_id, unnest(list_distinct({_TOK.replace('X', 'substring(text, 1, 60)')})) as t from documents where doc_kind = 'plan' and text is not null),
-e as (select doc_id, chunk, len(toks) as dl, unnest(toks) as t from tk), tf as (select t, doc_id, chunk, dl, count(*) as tf from e group by all), df as (select t, count(*) as df from tf group by t),
-s as (select query_id, doc_id, chunk, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / greatest(1.0::double, sum_dl::double / n)))), 6) as score from q join df using (t) join tf using (t), st group by all),
-k as (select *, row_number() over (partition by query_id order by score desc, doc_id desc, chunk desc) as rank from s) select * from k where rank <= 8""",
 }
