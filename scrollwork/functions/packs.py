@@ -63,6 +63,10 @@ COUNT_LIMITS = {"piled": 2, "notbut": 2, "pacer_phrase": 2, "emotion": 2, "theme
 NARRATION_LIMITS = {"buzz": 1.0, "sci": 2.5}
 SHORT, LONG, COMMAS, STD_LEAST, SHORT_LEAST = 12, 60, 7, 8.0, 0.15
 CHAPTER_TYPES = ("推进", "高潮", "过渡", "关系", "线索", "代价")
+#: Anchors of human prose, the range that others must lie in, and how many digits are kept.
+ANCHORS = {"sentence_median": 38.9, "short20_ratio": 0.19, "ellipsis": 1.1}
+ANCHOR_RANGES = {"sentence_median": (5, 120), "short20_ratio": (0, 1), "ellipsis": (0, 20)}
+ANCHOR_DIGITS = {"sentence_median": 1, "short20_ratio": 3, "ellipsis": 2}
 #: What each type of chapter needs and what it should avoid, in our own words.
 GUIDE = {
     "推进": ("a plot point that changes the situation", "explanation without movement"),
