@@ -195,6 +195,26 @@ def character_cards(characters: DataFrame, name: str) -> DataFrame:
     return c.join(r, ["book", "id"], "left").select("book", "id", "name", "role", "first_chapter", "last_chapter", _state_line(F.col("state")).alias("state"), F.coalesce("relations", F.lit("")).alias("relations"))
 
 
+def thread_cards(foreshadows: DataFrame, word: str) -> DataFrame:
+    """Threads whose row mentions `word` in any column, with their beats in order: (book, id, title, status, beats)."""
+    f = foreshadows.where(F.to_json(F.struct("book", "id", "title", "description", "status", "payoff_plan", "beats")).contains(word))
+    f = f.groupBy("book", "id").agg(F.max_by(F.struct("title", "status", "beats"), "created_at").alias("r")).select("book", "id", "r.*")
+    beat = lambda b: F.concat(F.lit("第"), F.coalesce(b["chapter"].cast("string"), F.lit("?")), F.lit("章"), F.coalesce(b["action"], F.lit("")), F.lit("("), F.coalesce(b["note"], F.lit("")), F.lit(")"))
+    return f.select("book", "id", "title", "status", F.coalesce(F.array_join(F.transform("beats", beat), " → "), F.lit("")).alias("beats"))
+
+
+def state_report(characters: DataFrame, organizations: DataFrame, foreshadows: DataFrame, analysis: DataFrame, books: DataFrame) -> DataFrame:
+    """What stands where in each book: (book, section, ord, text): main characters, organizations, open threads by tier and
+    deadline, world rules, and the last fifteen events, the latest first."""
+    number = F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("999999999")).cast("bigint")
+    c = ledger.latest_characters(characters).where("deleted_at is null and role in ('protagonist', 'major')").select("book", F.lit("characters").alias("section"), number.alias("ord"), F.concat_ws(" ", "id", "name", _state_line(F.col("state"))).alias("text"))
+    o = organizations.groupBy("book", "id").agg(F.max_by(F.struct("name", "status"), "updated_at").alias("r")).select("book", F.lit("organizations").alias("section"), number.alias("ord"), F.concat_ws(" ", "id", "r.name", "r.status").alias("text"))
+    t = ledger.thread_buckets(foreshadows, books).select("book", F.concat(F.lit("threads "), "bucket").alias("section"), F.col("rank").cast("bigint").alias("ord"), F.concat_ws(" ", "id", "tier", "deadline_chapter").alias("text"))
+    w = ledger.first_of(analysis, "world_facts", "rule").select("book", F.lit("rules").alias("section"), F.col("first_chapter").cast("bigint").alias("ord"), F.col("key").alias("text"))
+    e = recent_events(analysis, books, within=1_000_000, most=15).select("book", F.lit("events").alias("section"), F.col("rank").cast("bigint").alias("ord"), F.concat_ws(" ", "chapter", "event").alias("text"))
+    return c.unionByName(o).unionByName(t).unionByName(w).unionByName(e)
+
+
 def thread_chapters(analysis: DataFrame, word: str) -> DataFrame:
     """Chapters with an operation on a thread that mentions `word`; of several the first: (book, chapter, id, action)."""
     e = ledger.current(analysis, "foreshadow_ops").select("book", "chapter", F.posexplode("foreshadow_ops").alias("pos", "o"))

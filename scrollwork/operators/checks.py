@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,15 +46,35 @@ def reconcile(t: Tables) -> list[DataFrame]:
     ]
 
 
+def banned(c: Column, bans: DataFrame | None = None) -> Column:
+    """Whether a text has a banned phrase: those of a list (pattern, regex) as `files.ban_list` parses it, or the default ones.
+
+    A list is written by hand, so it becomes literals of the plan, and each text is read once; a pattern that isn't one is left out.
+    """
+    if bans is None:
+        plain, patterns = list(packs.BANNED), list(packs.BANNED_PATTERNS)
+    else:
+        rows = bans.select("pattern", "regex").distinct().collect()
+        plain, patterns = [r[0] for r in rows if not r[1]], [r[0] for r in rows if r[1] and _compiles(r[0])]
+    return reduce(lambda p, q: p | q, [c.contains(r) for r in plain] + [c.rlike(r) for r in patterns], F.lit(False))
+
+
+def _compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
 def chapter_texts(t: Tables) -> list[DataFrame]:
-    """First line, length against the book's range, banned phrases."""
+    """First line, length against the book's range, banned phrases (of the table `bans` if there is one)."""
     b = t["books"].groupBy("book").agg(F.max("words_per_chapter.min").alias("lo"), F.max("words_per_chapter.max").alias("hi"))
     c = metrics.chapters(t["documents"]).withColumn("n", count_words(F.col("text"))).withColumn("first", F.try_element_at(lines(F.col("text")), F.lit(1)))
     x = c.join(b, "book", "left")
-    banned = reduce(lambda p, q: p | q, [F.col("text").contains(r) for r in packs.BANNED] + [F.col("text").rlike(r) for r in packs.BANNED_PATTERNS])
     return [
         *_first_failing(x, "E", [("bad_title_line", ~F.coalesce(F.col("first"), F.lit("")).startswith("#")), ("too_short", F.col("n") < F.col("lo") * 0.85)]),
-        *_first_failing(x, "W", [("too_long", F.col("n") > F.col("hi") * 1.5), ("blacklist_hit", banned)]),
+        *_first_failing(x, "W", [("too_long", F.col("n") > F.col("hi") * 1.5), ("blacklist_hit", banned(F.col("text"), t.get("bans")))]),
     ]
 
 
@@ -140,6 +161,13 @@ def terms(t: Tables) -> list[DataFrame]:
     ]
 
 
+def term_entries(t: Tables) -> list[DataFrame]:
+    """Terms as they were registered: without a name, or more than once."""
+    x = ledger.current(t["analysis"], "terms").select("book", "chapter", F.explode("terms").alias("x"))
+    n = ledger.first_of(t["analysis"], "terms", "term").where("n > 1")
+    return [_rows(x.where(F.trim(F.coalesce("x.term", F.lit(""))) == ""), "E", "term_missing"), _rows(n, "E", "term_duplicate", "key", "first_chapter")]
+
+
 def pacing(t: Tables) -> list[DataFrame]:
     a = t["analysis"]
     return [
@@ -162,7 +190,7 @@ def reviews(t: Tables) -> list[DataFrame]:
     ]
 
 
-GROUPS = {"reconcile": reconcile, "chapter_texts": chapter_texts, "analyses": analyses, "plans": plans, "threads": threads, "people": people, "terms": terms, "pacing": pacing, "reviews": reviews}
+GROUPS = {"reconcile": reconcile, "chapter_texts": chapter_texts, "analyses": analyses, "plans": plans, "threads": threads, "people": people, "terms": terms, "term_entries": term_entries, "pacing": pacing, "reviews": reviews}
 
 
 def violations(t: Tables, *groups: str) -> DataFrame:

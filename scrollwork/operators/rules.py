@@ -97,12 +97,15 @@ def evasions(docs: DataFrame, banned: Sequence[str] = packs.BANNED, least: int =
     return x.select("doc_id", "x.phrase", F.col("x.best.pair").alias("pair"), F.col("x.best.n").alias("n"), F.col("x.own").alias("own")).where((F.col("n") >= least) & (F.col("n") > F.col("own") * ratio)).drop("own")
 
 
-def repaired(c: Column) -> Column:
-    """Half-width marks between Chinese characters made full-width and repeated marks made single."""
+def repaired(c: Column, ops: Sequence[tuple[str, str]] = ()) -> Column:
+    """Half-width marks between Chinese characters made full-width, repeated marks made single, then the (pattern, replacement)
+    pairs that a library's rules bring along, in their order."""
     for half, full in packs.HALFWIDTH.items():
         c = F.regexp_replace(c, f"(?<=[{packs.HAN}]){re.escape(half)}(?=[{packs.HAN}])", full)
     for mark in "！？。，、；":
         c = F.regexp_replace(c, f"{mark}{mark}+", mark)
+    for pattern, new in ops:
+        c = F.regexp_replace(c, pattern, new)
     return c
 
 
@@ -111,9 +114,9 @@ def signature(c: Column) -> Column:
     return F.regexp_replace(c, f"[^{packs.HAN} A-Za-z0-9]", "")
 
 
-def repairs(docs: DataFrame) -> DataFrame:
+def repairs(docs: DataFrame, ops: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(doc_id, text, same_prose) of the texts that a repair changes."""
-    d = docs.where("text is not null").select("doc_id", F.col("text").alias("old"), repaired(F.col("text")).alias("text"))
+    d = docs.where("text is not null").select("doc_id", F.col("text").alias("old"), repaired(F.col("text"), ops).alias("text"))
     return d.where("old <> text").select("doc_id", "text", (signature(F.col("old")) == signature(F.col("text"))).alias("same_prose"))
 
 

@@ -9,6 +9,7 @@ from scrollwork.plans.checkqueries import _NOW, _field
 from scrollwork.plans.checkqueries import ORACLE as _CHECK
 from scrollwork.plans.corpusqueries import _CHUNKS, _TOK
 from scrollwork.plans.ledgerqueries import _DNA, _LATEST, _LIVE, _OWN, CUR
+from scrollwork.plans.ledgerqueries import ORACLE as _LEDGER
 from scrollwork.plans.textqueries import _CH
 from scrollwork.sources.tables import table
 
@@ -32,6 +33,8 @@ QUERIES = {
     "TK-02_recall": _q(b.recall, "documents", "books"),
     "LK-01_card": _q(lambda c: b.character_cards(c, "亓远"), "characters"),
     "LK-02_thread_chapters": _q(lambda a: b.thread_chapters(a, "payoff"), "analysis"),
+    "LK-02_thread_cards": _q(lambda f: b.thread_cards(f, "plant"), "foreshadows"),
+    "SK-08_state": _q(b.state_report, "characters", "organizations", "foreshadows", "analysis", "books"),
     "LK-03_item": _q(lambda a, c: b.item(a, c, "铜钥匙"), "analysis", "characters"),
     "LK-05_term": _q(lambda a: b.term(a, "铜"), "analysis"),
     "LK-06_fact": _q(lambda a: b.fact(a, "金额"), "analysis"),
@@ -77,6 +80,15 @@ f as (select *, row_number() over (partition by book order by r)::int as rank fr
     "LK-05_term": CUR + _TERMS + " select book, term, first_chapter, case when revealed_chapter is not null then 'revealed ' || revealed_chapter when reveal_chapter is not null then 'planned ' || reveal_chapter else 'open' end as state from tc where contains(concat_ws('', term, brief, truth), '铜')",
     "LK-06_fact": CUR + _FACTS + " select book, name, value, category, first_chapter, updated_chapter from fc where contains(concat_ws(chr(10), name, value, category, note), '金额')",
 }
+ORACLE["LK-02_thread_cards"] = "with f as (select *, row_number() over (partition by book, id order by created_at desc) as rn from foreshadows where contains(to_json({'book': book, 'id': id, 'title': title, 'description': description, 'status': status, 'payoff_plan': payoff_plan, 'beats': beats})::varchar, 'plant')) select book, id, title, status, coalesce(array_to_string(list_transform(beats, lambda x: '第' || coalesce(x.chapter::varchar, '?') || '章' || coalesce(x.action, '') || '(' || coalesce(x.note, '') || ')'), ' → '), '') as beats from f where rn = 1"
+_EVENTS = ORACLE["CP-08_recent_events"].replace("chapter >= now - 2", "true").replace("rank <= 10", "rank <= 15")
+_NUM = "try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint)"
+ORACLE["SK-08_state"] = f"""with {_LATEST}, og as (select * from (select *, row_number() over (partition by book, id order by updated_at desc) as rn from organizations) where rn = 1)
+select book, 'characters' as section, {_NUM} as ord, concat_ws(' ', id, name, coalesce(array_to_string(list_transform(list_sort(list_filter(map_entries(state), lambda e: coalesce(e.value, '') <> '')), lambda e: e.key || ':' || e.value), ' / '), '')) as text from lat where deleted_at is null and role in ('protagonist', 'major')
+union all select book, 'organizations', {_NUM}, concat_ws(' ', id, name, status) from og
+union all select book, 'threads ' || bucket, rank, concat_ws(' ', id, tier, deadline_chapter) from ({_LEDGER['TK-03_thread_buckets']})
+union all select book, 'rules', first_chapter, key from ({_LEDGER['LG-09_world_rules']})
+union all select book, 'events', rank, concat_ws(' ', chapter, event) from ({_EVENTS})"""
 
 
 def _sub(name: str) -> str:

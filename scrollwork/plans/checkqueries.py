@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrollwork.functions import packs
 from scrollwork.functions.text import LINE_END_RE2, strip_ws_sql
-from scrollwork.operators import checks, lookup
+from scrollwork.operators import checks, intake, lookup
 from scrollwork.plans.ledgerqueries import _DNA, _LATEST, _LIVE, CUR
 from scrollwork.plans.ledgerqueries import ORACLE as _L
 from scrollwork.plans.problems import ORACLE as _P
@@ -27,14 +27,25 @@ def _q(f, *names):  # noqa: ANN001, ANN002, ANN202
 
 
 def edit_guard(spark: SparkSession, d: str) -> DataFrame:
-    """The first against the last text of each chapter."""
-    docs = table(spark, d, "documents").where("doc_kind = 'chapter' and book is not null and chapter is not null and text is not null")
-    v = docs.groupBy("book", "chapter").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"), F.min("doc_id").alias("doc_id"))
-    return checks.edit_guard(v.select("doc_id", F.col("a").alias("text")), v.select("doc_id", F.col("b").alias("text")))
+    """Every version of each chapter against the one before it."""
+    docs = table(spark, d, "documents")
+    v = intake.versions(docs).where("before_id is not null")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    before = v.select(F.col("doc_id").alias("after"), F.col("before_id").alias("doc_id")).join(texts, "doc_id").select(F.col("after").alias("doc_id"), "text")
+    return checks.edit_guard(before, texts.join(v.select("doc_id"), "doc_id", "left_semi"))
+
+
+def tampered(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters whose last version differs from the first, as if that had been final: (doc_id, code), doc_id being the first's."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
+    v = intake.versions(table(spark, d, "documents")).groupBy("book", "chapter").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("doc_id")).where("first <> doc_id")
+    locked = docs.join(v.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return checks.tampered(locked, docs.join(v, "doc_id").select(F.col("first").alias("doc_id"), "text"))
 
 
 QUERIES = {f"CHK_{g}": _group(g) for g in checks.GROUPS} | {
     "PF-15_edit_guard": edit_guard,
+    "JN-21_tampered": tampered,
     "LK-07_keyword": _q(lambda a: lookup.keyword(a, "旧账本"), "analysis"),
     "LK-04_location": _q(lambda a: lookup.location(a, "寒鸦渡"), "analysis"),
     "LK-01_character": _q(lambda a, c: lookup.character(a, c, "亓远"), "analysis", "characters"),
@@ -90,6 +101,8 @@ union all {_row('gp', 'W', "'chapter_gap'", "f || '-' || t", 'f')}""",
     + " union all " + _tests("tn", "W", [("too_many_t1", "active_t1 > 5"), ("no_t1", "now > 10 and active_t1 = 0")], "null", "null"),
     "CHK_people": "with " + _sql(_P["p4_found"], "fd") + f", m as (select distinct table_name, book, holder_id, ref_id from fd where status = 'missing'), {_LATEST}, ah as (select lat.* from lat join {_NOW} using (book) where last_chapter > now) " + _row("m", "E", "case table_name when 'characters' then 'relation_orphan' when 'organizations' then 'member_orphan' else 'thread_orphan' end", "holder_id || '>' || ref_id", "null") + " union all " + _row("ah", "W", "'last_chapter_ahead'", "id", "last_chapter"),
     "CHK_terms": "with " + _sql(_L["LG-10_terms"], "tm") + f", x as (select tm.*, now from tm left join {_NOW} using (book)) " + _row("x", "E", "'term_reveal_before_first'", "term", "first_chapter") + " where reveal_chapter < first_chapter union all " + _row("x", "W", "'term_overdue'", "term", "reveal_chapter") + " where reveal_chapter <= now and revealed_chapter is null",
+    "CHK_term_entries": CUR + f", x as (select book, chapter, unnest(terms) as x from cur), n as (select book, {strip_ws_sql('x.term')} as key, min(chapter) as fc from x where {strip_ws_sql('x.term')} <> '' group by all having count(*) > 1) " + _row("x", "E", "'term_missing'") + " where trim(coalesce(x.term, '')) = '' union all " + _row("n", "E", "'term_duplicate'", "key", "fc"),
+    "JN-21_tampered": "with v as (select book, chapter, min(doc_id) as a, max(doc_id) as b from documents where doc_kind = 'chapter' and book is not null and chapter is not null and text is not null group by all having min(doc_id) <> max(doc_id)), t as (select distinct doc_id, text from documents) select a as doc_id, 'final_tampered' as code from v join t x on x.doc_id = a join t y on y.doc_id = b where x.text <> y.text",
     "CHK_pacing": "with " + ", ".join(_sql(s, n) for n, s in (("ug", _L["JN-11_unpaid_gains"]), ("gs", _L["WN-13_gain_only"]), ("ts", _L["WN-10_type_streaks"]), ("nc", _L["WN-11_no_climax"]), ("cr", _L["WN-12_conflict_runs"]), ("sf", _T["WN-15_side_flips"]))) + " " + " union all ".join([_row("ug", "W", "'gain_without_cost'", "name"), _row("gs", "W", "'free_ride'"), _row("ts", "W", "'type_streak'", "type"), _row("nc", "W", "'no_climax_10'"), _row("cr", "W", "code"), _row("sf", "W", "'side_flip'", "part")]),
     "CHK_reviews": "with x as (select book, doc_id, chapter, text, len(regexp_extract_all(text, '\\[必须修改\\]')) as must, try_cast(nullif(regexp_extract(text, '得分[ \\t]*[:：][ \\t]*([0-9]{1,3})', 1), '') as int) as score, len(regexp_extract_all(text, '[「“]([^」”]{12,})[」”]')) as quotes from documents where doc_kind = 'review' and book is not null and text is not null) " + _tests("x", "W", [("review_few_must", "must < 2"), ("review_98", "score >= 98"), ("review_quotes", "must > 0 and quotes < must"), ("review_hollow", "regexp_matches(text, '写得(很)?棒|完全符合要求|无可挑剔')")], "doc_id") + " union all " + _tests("x", "E", [("review_anchor", "score > 90 and must < 2")], "doc_id"),
     "LK-07_keyword": CUR + ", h as (select book, chapter, 'summary' as reason from cur where contains(summary, '旧账本') union select book, chapter, 'hook' from cur where contains(hook, '旧账本') union select book, chapter, 'title' from cur where contains(title, '旧账本') union select book, chapter, 'fact' from cur where len(list_filter(facts, lambda x: coalesce(contains(x.name, '旧账本'), false) or coalesce(contains(x.value, '旧账本'), false))) > 0) select book, chapter, string_agg(reason, ',' order by reason) as reasons from h group by all",

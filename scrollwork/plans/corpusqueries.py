@@ -28,6 +28,9 @@ def bm25_plans(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(retrieval.chunks(docs.where("doc_kind = 'chapter'")), queries)
 
 
+#: Rules that the test tables break, so that a scan has something to find.
+LIVELY = (("L001", "core", "ban", "word", "没有人应声", "-"), ("L002", "core", "ban", "word", "压低了嗓子", "-"), ("L003", "core", "ban", "regex", "(?:道|说)：“", "-"), ("L004", "core", "ban", "regex", "\\bthe \\w+ed\\b", "-"))
+
 QUERIES = {
     "AG-01_shingles": _one(lambda x: similarity.shingles(x).groupBy("book", "chapter").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("c").alias("n_grams"))),
     "JN-09_repeats": _one(similarity.repeats),
@@ -49,6 +52,9 @@ QUERIES = {
     "TX-28_signature": _one(lambda x: x.where("text is not null").select("doc_id", F.md5(rules.signature(F.col("text"))).alias("signature"))),
     "SC-17_rules": lambda spark, d: rules.library(spark, "standard").select("id", "level", "mode", "kind", "pattern"),
     "WN-19_chunks": _one(lambda x: retrieval.chunks(x.where("doc_kind = 'chapter'")).select("doc_id", "chunk", F.length("body").alias("n_chars"))),
+    "PF-06_scan_words": _one(lambda x: rules.scan(x, LIVELY)),
+    "PF-07_hottest_words": _one(lambda x: rules.hottest(x, LIVELY)),
+    "TX-20_snippets": _one(lambda x: retrieval.snippets(retrieval.chunks(x.where("doc_kind = 'chapter'")))),
     "BM25_plans": bm25_plans,
 }
 
@@ -74,9 +80,16 @@ def _cells(c: str) -> str:
 
 
 _RC = f"rc as (select doc_id, x.rule as rule, x.n::int as n from (select doc_id, unnest({_cells('text')}) as x from documents where text is not null) where x.n > 0)"
-_HITS = "[" + ", ".join(f"struct_pack(rule := {_q(r[0])}, hit := " + (f"case when contains(line, {_q(r[4])}) then {_q(r[4])} end" if r[3] == "word" else f"case when regexp_matches(line, {_q(r[4])}) then regexp_extract(line, {_q(r[4])}) end") + ")" for r in packs.RULES if r[2] == "ban") + "]"
-_SCAN = f"""ln as (select doc_id, u.i::int as line_no, u.x as line from (select doc_id, unnest(list_transform(string_split_regex(text, '{LINE_END_RE2}'), lambda x, i: struct_pack(x := x, i := i))) as u from documents where text is not null)),
-sc as (select doc_id, line_no as line, x.rule as rule, x.hit as hit from (select doc_id, line_no, unnest({_HITS}) as x from ln) where x.hit is not null)"""
+def _hits(library) -> str:  # noqa: ANN001
+    return "[" + ", ".join(f"struct_pack(rule := {_q(r[0])}, hit := " + (f"case when contains(line, {_q(r[4])}) then {_q(r[4])} end" if r[3] == "word" else f"case when regexp_matches(line, {_q(r[4])}) then regexp_extract(line, {_q(r[4])}) end") + ")" for r in library if r[2] == "ban") + "]"
+
+
+def _scan(library) -> str:  # noqa: ANN001
+    return f"""ln as (select doc_id, u.i::int as line_no, u.x as line from (select doc_id, unnest(list_transform(string_split_regex(text, '{LINE_END_RE2}'), lambda x, i: struct_pack(x := x, i := i))) as u from documents where text is not null)),
+sc as (select doc_id, line_no as line, x.rule as rule, x.hit as hit from (select doc_id, line_no, unnest({_hits(library)}) as x from ln) where x.hit is not null)"""
+
+
+_SCAN = _scan(packs.RULES)
 _EV = [p for p in [*packs.BANNED, "没有人应声", "第三日清晨"] if len(p) >= 3]
 
 
@@ -110,6 +123,9 @@ l as (select *, lag(chapter) over (partition by book, sentence order by chapter)
     "PF-05_rule_counts": f"with {_RC} select * from rc",
     "PF-06_rule_scan": f"with {_SCAN} select * from sc",
     "PF-07_hottest": f"with {_SCAN} select rule, count(*) as n from sc group by rule order by n desc, rule limit 8",
+    "PF-06_scan_words": f"with {_scan(LIVELY)} select * from sc",
+    "PF-07_hottest_words": f"with {_scan(LIVELY)} select rule, count(*) as n from sc group by rule order by n desc, rule limit 8",
+    "TX-20_snippets": f"with {_CHUNKS} select doc_id, chunk, substring({_strip("regexp_replace(body, '[\\s\\x{0b}]+', ' ', 'g')")}, 1, 150) as snippet from ck",
     "AG-07_rule_totals": f"with {_RC} select book, rule, sum(n)::bigint as total, count(*) as n_docs, max(n) as most from rc join documents using (doc_id) where book is not null group by book, rule",
     "AG-09_calibration": f"""with {_RC}, t as (select doc_id, text, case doc_kind when 'chapter' then 'own' else 'ref' end as side from documents where text is not null and doc_kind in ('chapter', 'sample')),
 sz as (select side, count(*) as docs, sum({_words('text')}) as words from t group by side), h as (select rule, side, count(*) as hd, sum(n) as tot from rc join t using (doc_id) group by all),

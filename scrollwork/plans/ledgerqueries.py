@@ -38,6 +38,7 @@ QUERIES = {
     "WN-12_conflict_runs": _q(l.conflict_runs, *_A),
     "WN-13_gain_only": _q(l.gain_only_streaks, *_A),
     "WN-14_gaps": _q(l.gaps, *_A),
+    "WN-14_snapshot_gaps": _q(l.gaps, "snapshots"),
     "WN-18_tension": _q(l.tension_lines, *_A),
     "JN-08_hook_overlap": _q(l.hook_overlap, *_A),
     "AG-15_types": _q(l.type_counts, *_A),
@@ -96,6 +97,7 @@ al as (select ev.* from ev left join mx using (book) where m is null or chapter
     "WN-12_conflict_runs": CUR + ", c as (select * from cur where conflict between 1 and 5), s as (select book, chapter, count(*) over h as n3, min(conflict) over h as m3, count(*) over l as n5, max(conflict) over l as m5 from c window h as (partition by book order by chapter range between current row and 2 following), l as (partition by book order by chapter range between current row and 4 following)) select book, min(chapter) as chapter, 'conflict_fatigue' as code from s where n3 = 3 and m3 >= 4 group by book union all select book, min(chapter), 'conflict_slump' from s where n5 = 5 and m5 <= 2 group by book",
     "WN-13_gain_only": CUR + ", g as (select book, chapter, lag(chapter) over (partition by book order by chapter) as b from cur where len(gains) > 0 and coalesce(len(costs), 0) = 0) select book, chapter from g where chapter = b + 1",
     "WN-14_gaps": "with c as (select distinct book, chapter from analysis where chapter is not null), n as (select *, lead(chapter) over (partition by book order by chapter) as n from c) select book, chapter + 1 as from_chapter, n - 1 as to_chapter from n where n > chapter + 1",
+    "WN-14_snapshot_gaps": "with c as (select distinct book, chapter from snapshots where chapter is not null), n as (select *, lead(chapter) over (partition by book order by chapter) as n from c) select book, chapter + 1 as from_chapter, n - 1 as to_chapter from n where n > chapter + 1",
     "WN-18_tension": CUR + ", c as (select book, chapter, substring('▁▂▃▄▅', conflict, 1) as b, row_number() over (partition by book order by chapter desc) as r from cur where conflict between 1 and 5) select book, string_agg(b, '' order by chapter) as line from c where r <= 10 group by book",
     "JN-08_hook_overlap": CUR + f", d as (select book, chapter, {_DNA} as d from cur), p as (select *, lag(d) over w as p, lag(chapter) over w as pc from d window w as (partition by book order by chapter)) select book, chapter, case when len(d) > 0 and len(p) > 0 then len(list_intersect(d, p))::double / len(list_distinct(list_concat(d, p))) else 0.0::double end as overlap from p where pc = chapter - 1",
     "AG-15_types": CUR + " select book, type, count(*) as n from cur group by all",

@@ -44,7 +44,13 @@ def plan_cast(spark: SparkSession, d: str) -> DataFrame:
     return files.plan_cast(table(spark, d, "documents").where("doc_kind = 'plan' and text is not null"))
 
 
-QUERIES = {"JN-01_orphans": orphans, "AG-22_rollup": event_rollup, "WN-17_last_events": last_events, "JN-11_events": unpaid_events, "SC-13_plan_cast": plan_cast}
+def orphan_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Part keys looked up among the suppliers: references to a parent table that lacks most of them."""
+    n = table(spark, d, "lineitem").where("l_partkey is not null").groupBy(F.col("l_partkey").cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.join(table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k")), "k", "left_anti")
+
+
+QUERIES = {"JN-01_orphans": orphans, "JN-01_orphan_parts": orphan_parts, "AG-22_rollup": event_rollup, "WN-17_last_events": last_events, "JN-11_events": unpaid_events, "SC-13_plan_cast": plan_cast}
 
 
 def _o(child: str, key: str, parent: str, pk: str) -> str:
@@ -53,6 +59,7 @@ def _o(child: str, key: str, parent: str, pk: str) -> str:
 
 ORACLE = {
     "JN-01_orphans": " union all ".join([_o("orders", "o_custkey", "customer", "c_custkey"), _o("lineitem", "l_orderkey", "orders", "o_orderkey"), _o("lineitem", "l_partkey", "part", "p_partkey"), _o("customer", "c_nationkey", "nation", "n_nationkey"), _o("nation", "n_regionkey", "region", "r_regionkey")]),
+    "JN-01_orphan_parts": "select l_partkey::bigint as k, count(*) as n_rows from lineitem where l_partkey is not null and not exists (select 1 from supplier where s_suppkey = l_partkey) group by all",
     "AG-22_rollup": "select event_type, cast(ts as date) as day, count(*) as n, count(distinct user_id) as n_users from events group by rollup (event_type, cast(ts as date))",
     "WN-17_last_events": "select user_id, event_id, r from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 15",
     "JN-11_events": "select event_id, user_id from events p where event_type = 'purchase' and not exists (select 1 from events c where c.event_type = 'error' and c.user_id = p.user_id and cast(c.ts as date) - cast(p.ts as date) between 0 and 1)",

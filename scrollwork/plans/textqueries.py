@@ -133,6 +133,9 @@ select book, speaker, count(*) as n_lines, sum(length(said)) as n_chars, sum({_n
 }
 
 
+ORACLE["WN-07_frame_pairs"] = ORACLE["WN-07_frame_runs"].replace("count(*) >= 3", "count(*) >= 1")
+
+
 def _docs(f):  # noqa: ANN001, ANN202
     return lambda spark, d: f(table(spark, d, "documents"))
 
@@ -156,6 +159,7 @@ QUERIES = {
     "WN-05_emphasis": _docs(m.emphasis_runs),
     "WN-07_frames": _docs(m.frames),
     "WN-07_frame_runs": _docs(m.frame_runs),
+    "WN-07_frame_pairs": _docs(lambda x: m.frame_runs(x, 1)),
     "WN-08_quota": _docs(m.quota_windows),
     "WN-15_side_flips": _docs(m.side_flips),
     "AG-14_duplicates": _docs(m.duplicate_sentences),

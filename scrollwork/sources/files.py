@@ -5,6 +5,8 @@ Everything is a lazy scan with a stated schema. Missing optional files give an e
 
 from __future__ import annotations
 
+import os
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,29 @@ def chapters(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(n.alias("n"), F.col("value").alias("text")).where("n <> ''").select(F.col("n").cast("int").alias("n"), "text")
 
 
+def resolve_corpus(path: str) -> str:
+    """Where a project keeps its samples: the folder itself, or `material/style-sample` within it or within its parent's."""
+    for p in (os.path.join(path, "material", "style-sample"), os.path.join(path, "style-sample")):
+        if os.path.isdir(p):
+            return p
+    return path
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, text) of the .txt and .md files that lie directly in a folder; empty and blank ones are left out."""
+    raw = spark.read.option("pathGlobFilter", "*.{txt,md}").option("recursiveFileLookup", "false").text(folder, wholetext=True)
+    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.(txt|md)$", "").alias("source"), strip_ws(F.col("value")).alias("text")).where("text <> ''")
+
+
+def rule_library(spark: SparkSession, path: str, level: str = "wide") -> DataFrame:
+    """A rule library from a JSON file {"rules": [...]} up to a level."""
+    from scrollwork.functions import packs
+
+    r = json_file(spark, path, "id string, level string, mode string, kind string, pattern string, hint string", "rules")
+    rank = F.create_map(*[F.lit(x) for kv in packs.LEVELS.items() for x in kv])
+    return r.where(rank[F.col("level")] <= packs.LEVELS[level])
+
+
 def bad_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names of chapter files that aren't numbers."""
     raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)

@@ -14,3 +14,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
+
+
+#: The tables of a ledger, in the order they refer to each other.
+LEDGER = ("books", "characters", "organizations", "foreshadows", "analysis", "snapshots", "documents")
+
+
+def register(spark: SparkSession, folder: str, names: tuple[str, ...] = LEDGER) -> list[str]:
+    """Make the tables of a folder temporary views, so that SQL can use all of them; returns the names."""
+    for n in names:
+        table(spark, folder, n).createOrReplaceTempView(n)
+    return list(names)
