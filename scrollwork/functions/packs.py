@@ -89,4 +89,29 @@ RULES = tuple(
     + [(f"R{i + 201:03d}", "wide", "watch", "word", p, "看密度") for i, p in enumerate(("没有人应声", "压低了嗓子", "退了半步", "把话咽了回去", "忽然改了主意", "没有回头"))]
     + [(f"R{i + 301:03d}", "wide", "watch", "regex", p, "看密度") for i, p in enumerate(("(?:道|说)：“", "[！？]”", "\\bthe \\w+ed\\b", "(?:看了|盯着).{0,6}很久"))]
 )
+#: Our own larger library: category -> (level, mode, hint, words). A word that starts with `regex:` is a pattern.
+CATEGORIES = {
+    "gaze": ("core", "ban", "说清看见了什么", "目光如炬 眼神复杂 眼神一凛 眸光微动 意味深长地看 目光深邃 眼底划过一丝"),
+    "mouth": ("core", "ban", "换成动作或对话", "嘴角微微上扬 唇角一勾 扯出一抹笑 抿了抿唇 嘴角抽了抽 勾起一抹弧度"),
+    "breath": ("core", "ban", "写身体的具体反应", "倒吸一口凉气 屏住呼吸 呼吸一滞 长舒一口气 吐出一口浊气 呼吸急促起来"),
+    "air": ("core", "ban", "写在场的人做了什么", "空气骤然凝固 气氛顿时凝重 周围一片死寂 时间仿佛静止 一股寒意袭来 空气中弥漫着"),
+    "heart": ("standard", "ban", "写念头的内容", "心中一凛 心头一震 心中涌起 心里咯噔一下 心如刀绞 百感交集 五味杂陈"),
+    "body": ("standard", "ban", "一处细节就够", "身形一滞 身躯一震 浑身一颤 瞳孔骤缩 指节泛白 后背一凉 双腿发软"),
+    "voice": ("standard", "ban", "让话自己说", "声音低沉 语气淡淡 一字一顿 声音沙哑 冷声道 沉声道 不容置疑的语气"),
+    "time": ("standard", "ban", "写出隔了多久", "不知过了多久 转眼之间 电光火石之间 一时之间 刹那之间 说时迟那时快"),
+    "turn": ("standard", "ban", "直接写变化", "就在这时 殊不知 话音刚落 然而下一秒 没想到的是 令人意外的是"),
+    "summary": ("standard", "ban", "留给读者", "总而言之 由此可见 不难看出 归根结底 综上所述 毫无疑问 regex:这(?:不仅|不只)是[^。]{1,20}更是"),
+    "simile": ("standard", "watch", "一段一个比喻", "如同一把利刃 仿佛一座大山 宛如雕塑 像一头野兽 犹如晴天霹雳 好似一尊石像"),
+    "degree": ("standard", "watch", "删去试试", "无比 极其 异常地 格外地 前所未有 难以置信 无法形容"),
+    "smile": ("wide", "watch", "一章几次", "微微一笑 淡然一笑 苦笑一声 轻笑出声 哑然失笑 冷笑一声"),
+    "nod": ("wide", "watch", "一章几次", "点了点头 摇了摇头 叹了口气 皱了皱眉 挑了挑眉 耸了耸肩"),
+    "hands": ("wide", "watch", "一章几次", "握紧拳头 攥紧了手 摆了摆手 拍了拍肩 揉了揉眉心 搓了搓手"),
+    "silence": ("wide", "watch", "写沉默里的事", "陷入沉默 沉默了片刻 半晌无言 良久没有说话 谁也没有开口 一阵沉默"),
+    "weather": ("wide", "watch", "与情节有关才写", "夜色如墨 月光如水 寒风凛冽 细雨绵绵 天色渐暗 残阳如血"),
+    "frames": ("wide", "watch", "换一种开头或结尾", "regex:^(?:清晨|黄昏|深夜)， 故事才刚刚开始 一切才刚刚开始 新的一天开始了 命运的齿轮 好戏还在后头"),
+    "english": ("wide", "watch", "say it plainly", "regex:\\ba\\x20testament\\x20to\\b regex:\\bcould\\x20not\\x20help\\x20but\\b regex:\\bsent\\x20shivers\\b regex:\\bsteely\\x20gaze\\b"),
+}
 LEVELS = {"core": 1, "standard": 2, "wide": 3}
+_MORE = [(c, level, mode, hint, w) for c, (level, mode, hint, words) in CATEGORIES.items() for w in words.split()]
+#: The default rules and the larger library together; the id of a rule of the library names its category.
+LIBRARY = RULES + tuple((f"{c}-{i + 1:03d}", level, mode, "regex" if w.startswith("regex:") else "word", w.removeprefix("regex:"), hint) for i, (c, level, mode, hint, w) in enumerate(_MORE))

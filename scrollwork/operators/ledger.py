@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrollwork.functions import packs
 from scrollwork.functions.text import dna, fingerprint, jaccard, strip_ws
-from scrollwork.operators.sequence import next_in_group, running
+from scrollwork.operators.sequence import next_in_group, previous, running
 
 
 def current(analysis: DataFrame, *cols: str) -> DataFrame:
@@ -115,17 +115,21 @@ def thread_status(analysis: DataFrame) -> DataFrame:
 
 
 def thread_faults(analysis: DataFrame) -> DataFrame:
-    """Beats that the state machine forbids: (book, thread, chapter, pos, code)."""
-    w = Window.partitionBy("book", "thread").orderBy("chapter", "pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda *a: F.coalesce(F.max(F.when(F.col("action").isin(*a), 1).otherwise(0)).over(before), F.lit(0)) == 1
+    """Beats that the state machine forbids: (book, thread, chapter, pos, code).
+
+    What came before a beat is told by the places of its thread's first planting, payoff and end; no thread is one sorted group.
+    """
+    b = beats(analysis).withColumn("at", F.struct("chapter", "pos"))
+    first = lambda *a: F.min(F.when(F.col("action").isin(*a), F.col("at")))
+    t = b.groupBy("book", "thread").agg(first("plant").alias("planted"), first("payoff").alias("paid"), first("payoff", "abandon").alias("closed"))
+    before = lambda c: F.coalesce(F.col(c) < F.col("at"), F.lit(False))
     code = (
         F.when(F.col("action").isNull() | ~F.col("action").isin("plant", "advance", "setback", "payoff", "abandon"), "beat_bad_action")
-        .when((F.col("action") == "payoff") & seen("payoff"), "double_payoff")
-        .when((F.col("action") != "plant") & ~seen("plant"), "beat_before_plant")
-        .when(F.col("action").isin("advance", "setback") & seen("payoff", "abandon"), "beat_after_close")
+        .when((F.col("action") == "payoff") & before("paid"), "double_payoff")
+        .when((F.col("action") != "plant") & ~before("planted"), "beat_before_plant")
+        .when(F.col("action").isin("advance", "setback") & before("closed"), "beat_after_close")
     )
-    return beats(analysis).withColumn("code", code).where("code is not null").select("book", "thread", "chapter", "pos", "code")
+    return b.join(t, ["book", "thread"]).withColumn("code", code).where("code is not null").select("book", "thread", "chapter", "pos", "code")
 
 
 def live_threads(foreshadows: DataFrame, books: DataFrame) -> DataFrame:
@@ -174,8 +178,8 @@ def terms(analysis: DataFrame) -> DataFrame:
 def fact_revisions(analysis: DataFrame) -> DataFrame:
     """Each change of a fact's value: (book, name, chapter, before, value); the first value has before null."""
     e = current(analysis, "facts").select("book", "chapter", F.posexplode("facts").alias("pos", "x")).select("book", "chapter", "pos", "x.name", "x.value").where("name <> '' and value is not null")
-    w = Window.partitionBy("book", "name").orderBy("chapter", "pos")
-    return e.withColumn("before", F.lag("value").over(w)).where("before is null or before <> value").select("book", "name", "chapter", "before", "value")
+    e = previous(e.withColumn("at", F.col("chapter").cast("bigint") * (1 << 20) + F.col("pos")), ["book", "name"], "at", {"before": "value"}, 256 << 20)
+    return e.where("before is null or before <> value").select("book", "name", "chapter", "before", "value")
 
 
 def items(analysis: DataFrame, kind: str) -> DataFrame:

@@ -108,13 +108,14 @@ def skeleton(a: DataFrame) -> DataFrame:
     those before are condensed, 50 chapters a row: 24 characters a chapter, at most 150 a row.
     """
     scale = F.greatest(F.lit(0.3), budget(F.col("now")) / 8000)
-    by = Window.partitionBy("book")
     brief = F.substring(F.coalesce("summary", F.lit("")), 1, 120)
     x = a.where("chapter % 10 = 0 and chapter > 0").select("book", "chapter", "title", "now", brief.alias("s"))
     x = x.withColumn("line", F.concat(F.lit("第 "), "chapter", F.lit(" 章《"), F.coalesce("title", F.lit("")), F.lit("》:"), "s", F.lit("…")))
     near = F.greatest(F.lit(5), F.least(F.lit(10), F.floor(scale * 5)))
-    x = x.withColumn("n", F.sum(count_words(F.col("line"))).over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("chapter"))))
-    x = x.withColumn("far", (F.col("n") > F.floor(scale * CAPS["skeleton"])) & (F.col("r") > near))
+    size = x.groupBy("book").agg(F.sum(count_words(F.col("line"))).alias("n"))
+    latest = x.select("book", "chapter").withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("chapter")))).where("r <= 10")
+    x = x.join(size, "book").join(latest, ["book", "chapter"], "left")
+    x = x.withColumn("far", (F.col("n") > F.floor(scale * CAPS["skeleton"])) & (F.coalesce("r", F.lit(11)) > near))
     lines = x.where("not far").select("book", (-F.col("chapter")).cast("bigint").alias("ord"), F.col("line").alias("text"))
     part = F.concat(strip_ws(F.when(F.col("s") != "", F.substring("s", 1, 24)).otherwise(F.coalesce("title", F.lit("")))), F.when(F.length("s") > 24, "…").otherwise(""))
     g = x.where("far").groupBy("book", F.floor((F.col("chapter") - 1) / 50).alias("g")).agg(F.array_sort(F.collect_list(F.struct("chapter", part.alias("part")))).alias("x"))
@@ -142,7 +143,8 @@ def context(analysis: DataFrame, characters: DataFrame, foreshadows: DataFrame,
     cast = cast.select("book", F.lit("cast").alias("section"), n.alias("ord"), F.concat_ws(" ", "id", "name", "role").alias("text"))
     world = a.select("book", F.lit("rules").alias("section"), "chapter", F.posexplode("world_facts").alias("pos", "x")).select("book", "section", (F.col("chapter") * 100 + F.col("pos")).cast("bigint").alias("ord"), F.col("x.rule").alias("text"))
     facts = a.select("book", F.lit("facts").alias("section"), "chapter", F.posexplode("facts").alias("pos", "x")).select("book", "section", (-(F.col("chapter") * 100 + F.col("pos"))).cast("bigint").alias("ord"), F.concat_ws("=", "x.name", "x.value").alias("text"))
-    th = ledger.thread_buckets(foreshadows, books).where("bucket <> 'later'").select("book", F.lit("threads").alias("section"), F.row_number().over(Window.partitionBy("book").orderBy("bucket", "rank")).cast("bigint").alias("ord"), F.concat_ws(" ", "bucket", "id").alias("text"))
+    th = running(ledger.thread_buckets(foreshadows, books).where("bucket <> 'later'"), ["book"], F.concat("bucket", F.lpad(F.floor(F.col("rank") / 4096).cast("string"), 9, "0")), ["bucket", "rank"], F.lit(1), "ord")
+    th = th.select("book", F.lit("threads").alias("section"), F.col("ord").cast("bigint").alias("ord"), F.concat_ws(" ", "bucket", "id").alias("text"))
     rows = last.unionByName(far).unionByName(cast).unionByName(world).unionByName(facts).unionByName(th).where("text <> ''").join(now, "book")
     return folded(rows, {k: v for k, v in CAPS.items() if k != "skeleton"}, F.greatest(F.lit(0.3), budget(F.col("now")) / 8000)).select("book", "section", "ord", "text", "used")
 

@@ -18,8 +18,8 @@ from scrollwork.functions.text import count_words, lines
 Rule = tuple[str, str, str, str, str, str]
 
 
-def library(spark: SparkSession, level: str = "wide", rules: Sequence[Rule] = packs.RULES) -> DataFrame:
-    """The rules up to a level as a table."""
+def library(spark: SparkSession, level: str = "wide", rules: Sequence[Rule] = packs.LIBRARY) -> DataFrame:
+    """The rules up to a level as a table; each level holds those before it."""
     rows = [r for r in rules if packs.LEVELS[r[1]] <= packs.LEVELS[level]]
     return spark.createDataFrame(rows, "id string, level string, mode string, kind string, pattern string, hint string")
 

@@ -70,9 +70,15 @@ def _runs(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("book", "chapter", F.explode(F.flatten(F.transform(runs, lambda r: grams(r, n)))).alias("gram"))
 
 
-def _nouns(characters: DataFrame) -> DataFrame:
-    n = characters.select("book", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("noun"))
-    return n.where(F.length("noun") >= 2).groupBy("book").agg(F.sort_array(F.collect_set("noun")).alias("nouns"))
+def _without_nouns(p: DataFrame, characters: DataFrame) -> DataFrame:
+    """The rows (book, gram, ...) of 4-grams that contain no name or alias of two or more characters of their book.
+
+    A gram is cut into its pieces of two to four characters, which meet the names by equality; no book's names are gathered.
+    """
+    n = characters.select("book", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("piece")).where(F.length("piece").between(2, 4)).distinct()
+    pieces = F.explode(F.concat(grams(F.col("gram"), 2), grams(F.col("gram"), 3), F.array("gram"))).alias("piece")
+    named = p.select("book", "gram", pieces).join(n, ["book", "piece"], "left_semi").select("book", "gram").distinct()
+    return p.join(named, ["book", "gram"], "left_anti")
 
 
 def phrases(docs: DataFrame, n: int = 4) -> DataFrame:
@@ -85,7 +91,7 @@ def catchphrases(docs: DataFrame, characters: DataFrame, top: int = 12) -> DataF
     """The `top` 4-grams by chapters that have them, at least max(3, a third) of the book's, without names."""
     n = chapters(docs).groupBy("book").agg(F.count(F.lit(1)).alias("n"))
     p = phrases(docs).where("df >= 3").join(n, "book").where("df >= greatest(3, floor(n / 3))")
-    p = p.join(_nouns(characters), "book", "left").where(~F.exists(F.coalesce("nouns", F.array().cast("array<string>")), lambda x: F.col("gram").contains(x)))
+    p = _without_nouns(p, characters)
     rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("df"), "gram"))
     return p.withColumn("rank", rank).where(f"rank <= {top}").select("book", "gram", "df", "rank")
 
@@ -93,7 +99,7 @@ def catchphrases(docs: DataFrame, characters: DataFrame, top: int = 12) -> DataF
 def gestures(docs: DataFrame, characters: DataFrame, cap: int = 8) -> DataFrame:
     """4-grams with a gesture in three or more chapters and six or more places, without names; `over` marks those above the cap."""
     p = phrases(docs).where(F.col("gram").rlike(packs.GESTURE) & (F.col("df") >= 3) & (F.col("total") >= 6))
-    p = p.join(_nouns(characters), "book", "left").where(~F.exists(F.coalesce("nouns", F.array().cast("array<string>")), lambda x: F.col("gram").contains(x)))
+    p = _without_nouns(p, characters)
     return p.select("book", "gram", "df", "total", (F.col("total") > cap).alias("over"))
 
 

@@ -21,10 +21,10 @@ def _one(f):  # noqa: ANN001, ANN202
     return lambda spark, d: f(table(spark, d, "documents"))
 
 
-def bm25_plans(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks of all chapters for every plan, its whole text, as a query."""
+def bm25_plans(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    """The chunks of all chapters for the whole texts of plans; a search's queries are the rows whose id is divisible by `every`."""
     docs = table(spark, d, "documents")
-    queries = docs.where("doc_kind = 'plan' and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    queries = docs.where(f"doc_kind = 'plan' and text is not null and doc_id % {every} = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.bm25(retrieval.chunks(docs.where("doc_kind = 'chapter'")), queries)
 
 
@@ -52,6 +52,7 @@ QUERIES = {
     "TX-28_signature": _one(lambda x: x.where("text is not null").select("doc_id", F.md5(rules.signature(F.col("text"))).alias("signature"))),
     "SC-17_rules": lambda spark, d: rules.library(spark, "standard").select("id", "level", "mode", "kind", "pattern"),
     "WN-19_chunks": _one(lambda x: retrieval.chunks(x.where("doc_kind = 'chapter'")).select("doc_id", "chunk", F.length("body").alias("n_chars"))),
+    "PF-05_library_counts": _one(lambda x: rules.counts(x, packs.LIBRARY)),
     "PF-06_scan_words": _one(lambda x: rules.scan(x, LIVELY)),
     "PF-07_hottest_words": _one(lambda x: rules.hottest(x, LIVELY)),
     "TX-20_snippets": _one(lambda x: retrieval.snippets(retrieval.chunks(x.where("doc_kind = 'chapter'")))),
@@ -75,8 +76,8 @@ def _occ(c: str, r: rules.Rule) -> str:
     return f"((length({c}) - length(replace({c}, {_q(r[4])}, ''))) // {len(r[4])})" if r[3] == "word" else _n(c, r[4])
 
 
-def _cells(c: str) -> str:
-    return "[" + ", ".join(f"struct_pack(rule := {_q(r[0])}, n := {_occ(c, r)})" for r in packs.RULES) + "]"
+def _cells(c: str, library=packs.RULES) -> str:  # noqa: ANN001
+    return "[" + ", ".join(f"struct_pack(rule := {_q(r[0])}, n := {_occ(c, r)})" for r in library) + "]"
 
 
 _RC = f"rc as (select doc_id, x.rule as rule, x.n::int as n from (select doc_id, unnest({_cells('text')}) as x from documents where text is not null) where x.n > 0)"
@@ -123,6 +124,7 @@ l as (select *, lag(chapter) over (partition by book, sentence order by chapter)
     "PF-05_rule_counts": f"with {_RC} select * from rc",
     "PF-06_rule_scan": f"with {_SCAN} select * from sc",
     "PF-07_hottest": f"with {_SCAN} select rule, count(*) as n from sc group by rule order by n desc, rule limit 8",
+    "PF-05_library_counts": f"select doc_id, x.rule as rule, x.n::int as n from (select doc_id, unnest({_cells('text', packs.LIBRARY)}) as x from documents where text is not null) where x.n > 0",
     "PF-06_scan_words": f"with {_scan(LIVELY)} select * from sc",
     "PF-07_hottest_words": f"with {_scan(LIVELY)} select rule, count(*) as n from sc group by rule order by n desc, rule limit 8",
     "TX-20_snippets": f"with {_CHUNKS} select doc_id, chunk, substring({_strip("regexp_replace(body, '[\\s\\x{0b}]+', ' ', 'g')")}, 1, 150) as snippet from ck",
@@ -135,6 +137,11 @@ y as (select *, (ot * 1000)::double / ow as density, (rt * 1000)::double / rw as
 select rule, oh as hit_docs, od as n_docs, ot::bigint as total, density, ref_density, case when coalesce(od, 0) < 3 then 'too_few' when ot = 0 then 'silent' when coalesce(rw, 0) >= 3000 and ref_density >= density then 'habit_of_the_genre' when oh * 2 >= od then 'everywhere' when oh * 10 < od then 'rare' else 'useful' end as verdict from y""",
     "TK-06_evasions": "with c as (" + " union all ".join(f"select doc_id, {_q(p)} as phrase, {_cnt(p)} as own, list_max([" + ", ".join(f"struct_pack(n := {_cnt(p[i:i + 2])}, o := {-i}, pair := {_q(p[i:i + 2])})" for i in range(len(p) - 1)) + "]) as best from documents where text is not null" for p in _EV) + ") select doc_id, phrase, best.pair as pair, best.n::int as n from c where best.n >= 3 and best.n > own * 3",
     "TX-28_signature": f"select doc_id, md5(regexp_replace(text, '[^{packs.HAN} A-Za-z0-9]', '', 'g')) as signature from documents where text is not null",
-    "SC-17_rules": "select * from (values " + ", ".join("(" + ", ".join(_q(x) for x in r[:5]) + ")" for r in packs.RULES if packs.LEVELS[r[1]] <= 2) + ") t(id, level, mode, kind, pattern)",
+    "SC-17_rules": "select * from (values " + ", ".join("(" + ", ".join(_q(x) for x in r[:5]) + ")" for r in packs.LIBRARY if packs.LEVELS[r[1]] <= 2) + ") t(id, level, mode, kind, pattern)",
     "WN-19_chunks": f"with {_CHUNKS} select doc_id, chunk, length(body) as n_chars from ck",
+    "BM25_plans": f"""with {_CHUNKS}, tk as (select doc_id, chunk, {_TOK.replace('X', 'body')} as toks from ck), st as (select count(*) as n, sum(len(toks)) as sum_dl from tk),
+q as (select doc_id as query_id, unnest(list_distinct({_TOK.replace('X', 'text')})) as t from documents where doc_kind = 'plan' and text is not null and doc_id % 20 = 0),
+e as (select doc_id, chunk, len(toks) as dl, unnest(toks) as t from tk), tf as (select t, doc_id, chunk, dl, count(*) as tf from e group by all), df as (select t, count(*) as df from tf group by t),
+s as (select query_id, doc_id, chunk, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / greatest(1.0::double, sum_dl::double / n)))), 6) as score from q join df using (t) join tf using (t), st group by all),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id desc, chunk desc) as rank from s) select * from k where rank <= 8""",
 }

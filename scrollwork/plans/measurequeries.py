@@ -108,7 +108,7 @@ s as (select *, last_value(case when starts_with(line, '#') then pos end ignore
 n as (select *, row_number() over (partition by doc_id, section order by pos)::int as no from s where section is not null and not starts_with(line, '#')) select doc_id, section, no, line from n where no <= 2""",
     "AG-19_missing_types": CUR + ", m as (select *, row_number() over (partition by book order by chapter) as r from (select book, chapter from cur where type is null)) select book, count(*) as n, string_agg(chapter, ',' order by chapter) filter (where r <= 6) as chapters from m group by book",
     "SC-16_nouns": "select distinct * from (select book, name as noun from characters union all select book, unnest(aliases) from characters union all select book, name from organizations union all select book, unnest(terms).term from analysis) where length(noun) >= 2",
-    "RU-02_rule_groups": "with r as (select * from (values " + ", ".join(f"({_q(r[0])}, {_q(r[1])}, {_q(r[2])})" for r in packs.RULES) + ") t(id, level, mode)) select level, mode, count(*) as n, string_agg(id, ',' order by id) as ids from r group by all",
+    "RU-02_rule_groups": "with r as (select * from (values " + ", ".join(f"({_q(r[0])}, {_q(r[1])}, {_q(r[2])})" for r in packs.LIBRARY) + ") t(id, level, mode)) select level, mode, count(*) as n, string_agg(id, ',' order by id) as ids from r group by all",
     "WN-20_ranks": "select o_custkey, o_orderkey, (rank() over p)::int as rank, (dense_rank() over p)::int as dense, (ntile(4) over w)::int as quartile, percent_rank() over p as percent from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey), p as (partition by o_custkey order by o_totalprice desc)",
     "AG-22_cube": "select o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority)::int as level, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)",
     "AG-22_grouping_sets": "select o_orderstatus, o_orderpriority, count(*) as n, max(o_totalprice) as most from orders group by grouping sets ((o_orderstatus), (o_orderpriority))",

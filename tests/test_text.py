@@ -134,7 +134,7 @@ def test_bm25_of_whole_plans_against_brute_force(spark, tmp_path):
     chapters += [(30, "chapter", tail), (31, "chapter", tail)]
     plans = [(50 + i, "plan", "# 计划 " + "…" * 60 + body(40)) for i in range(5)] + [(60, "plan", "…" * 80 + "末"), (61, "plan", None), (62, "plan", "…")]
     spark.createDataFrame(chapters + plans, "doc_id long, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = corpusqueries.bm25_plans(spark, str(tmp_path))
+    got = corpusqueries.bm25_plans(spark, str(tmp_path), every=1)
 
     parts = [tuple(r) for r in retrieval.chunks(spark.createDataFrame(chapters, "doc_id long, k string, text string")).collect()]
     toks = {r[:2]: [x for x in spark.range(1).select(text.tokens(F.lit(r[2]))).first()[0]] for r in parts[:3]}
