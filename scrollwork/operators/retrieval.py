@@ -130,7 +130,8 @@ def bm25(parts: DataFrame, queries: DataFrame, top: int = 8, k1: float = 1.5, b:
     empty = {k: pd.Series(dtype=object) for k in (*types, "score")}
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame(empty), *_score(mine, theirs, avg, top, k1, b, at_once)]) if len(mine) and len(theirs) else pd.DataFrame(empty)
+        got = list(_score(mine, theirs, avg, top, k1, b, at_once)) if len(mine) and len(theirs) else []
+        return pd.concat(got) if got else pd.DataFrame(empty)
 
     scored = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(run, ", ".join(f"{k} {v}" for k, v in types.items()) + ", score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"), F.desc("chunk")))

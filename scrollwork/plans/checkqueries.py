@@ -102,6 +102,12 @@ union all {_row('gp', 'W', "'chapter_gap'", "f || '-' || t", 'f')}""",
     "CHK_people": "with " + _sql(_P["p4_found"], "fd") + f", m as (select distinct table_name, book, holder_id, ref_id from fd where status = 'missing'), {_LATEST}, ah as (select lat.* from lat join {_NOW} using (book) where last_chapter > now) " + _row("m", "E", "case table_name when 'characters' then 'relation_orphan' when 'organizations' then 'member_orphan' else 'thread_orphan' end", "holder_id || '>' || ref_id", "null") + " union all " + _row("ah", "W", "'last_chapter_ahead'", "id", "last_chapter"),
     "CHK_terms": "with " + _sql(_L["LG-10_terms"], "tm") + f", x as (select tm.*, now from tm left join {_NOW} using (book)) " + _row("x", "E", "'term_reveal_before_first'", "term", "first_chapter") + " where reveal_chapter < first_chapter union all " + _row("x", "W", "'term_overdue'", "term", "reveal_chapter") + " where reveal_chapter <= now and revealed_chapter is null",
     "CHK_term_entries": CUR + f", x as (select book, chapter, unnest(terms) as x from cur), n as (select book, {strip_ws_sql('x.term')} as key, min(chapter) as fc from x where {strip_ws_sql('x.term')} <> '' group by all having count(*) > 1) " + _row("x", "E", "'term_missing'") + " where trim(coalesce(x.term, '')) = '' union all " + _row("n", "E", "'term_duplicate'", "key", "fc"),
+    "PF-15_edit_guard": f"""with d as (select distinct book, chapter, doc_id, text as t from documents where doc_kind = 'chapter' and book is not null and chapter is not null and text is not null),
+l as (select doc_id, {_words('t')} as n, list_filter(string_split_regex(t, '{LINE_END_RE2}'), lambda x: trim(x) <> '') as ls from d),
+m as (select doc_id, n, len(list_filter(ls, lambda x: regexp_matches(x, '[“「"]'))) as d, len(ls) as p, starts_with(coalesce(ls[1], ''), '#') as h from l),
+v as (select doc_id, lag(doc_id) over (partition by book, chapter order by doc_id) as before_id from d),
+x as (select v.doc_id, list_filter([case when a.n = 0 then 'empty' end, case when a.n between 1 and 79 then 'under_80' end, case when b.h and not a.h then 'title_lost' end, case when b.n >= 400 and a.n < b.n * 0.6 then 'text_lost' end, case when b.d >= 4 and a.d < b.d * 0.4 then 'dialogue_lost' end, case when b.p >= 6 and a.p < b.p * 0.5 then 'paragraphs_lost' end], lambda z: z is not null) as c
+  from v join m a on v.doc_id = a.doc_id join m b on v.before_id = b.doc_id) select doc_id, unnest(c) as code from x""",
     "JN-21_tampered": "with v as (select book, chapter, min(doc_id) as a, max(doc_id) as b from documents where doc_kind = 'chapter' and book is not null and chapter is not null and text is not null group by all having min(doc_id) <> max(doc_id)), t as (select distinct doc_id, text from documents) select a as doc_id, 'final_tampered' as code from v join t x on x.doc_id = a join t y on y.doc_id = b where x.text <> y.text",
     "CHK_pacing": "with " + ", ".join(_sql(s, n) for n, s in (("ug", _L["JN-11_unpaid_gains"]), ("gs", _L["WN-13_gain_only"]), ("ts", _L["WN-10_type_streaks"]), ("nc", _L["WN-11_no_climax"]), ("cr", _L["WN-12_conflict_runs"]), ("sf", _T["WN-15_side_flips"]))) + " " + " union all ".join([_row("ug", "W", "'gain_without_cost'", "name"), _row("gs", "W", "'free_ride'"), _row("ts", "W", "'type_streak'", "type"), _row("nc", "W", "'no_climax_10'"), _row("cr", "W", "code"), _row("sf", "W", "'side_flip'", "part")]),
     "CHK_reviews": "with x as (select book, doc_id, chapter, text, len(regexp_extract_all(text, '\\[必须修改\\]')) as must, try_cast(nullif(regexp_extract(text, '得分[ \\t]*[:：][ \\t]*([0-9]{1,3})', 1), '') as int) as score, len(regexp_extract_all(text, '[「“]([^」”]{12,})[」”]')) as quotes from documents where doc_kind = 'review' and book is not null and text is not null) " + _tests("x", "W", [("review_few_must", "must < 2"), ("review_98", "score >= 98"), ("review_quotes", "must > 0 and quotes < must"), ("review_hollow", "regexp_matches(text, '写得(很)?棒|完全符合要求|无可挑剔')")], "doc_id") + " union all " + _tests("x", "E", [("review_anchor", "score > 90 and must < 2")], "doc_id"),

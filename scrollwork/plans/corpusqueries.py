@@ -31,6 +31,9 @@ def bm25_plans(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
 #: Rules that the test tables break, so that a scan has something to find.
 LIVELY = (("L001", "core", "ban", "word", "没有人应声", "-"), ("L002", "core", "ban", "word", "压低了嗓子", "-"), ("L003", "core", "ban", "regex", "(?:道|说)：“", "-"), ("L004", "core", "ban", "regex", "\\bthe \\w+ed\\b", "-"))
 
+#: Repairs that rules may bring along, for texts of the test tables.
+OPS = (("压低了嗓子", "放低了声音"), ("(?:退了)(半步)", "后退$1"))
+
 QUERIES = {
     "AG-01_shingles": _one(lambda x: similarity.shingles(x).groupBy("book", "chapter").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("c").alias("n_grams"))),
     "JN-09_repeats": _one(similarity.repeats),
@@ -49,6 +52,7 @@ QUERIES = {
     "AG-09_calibration": _one(rules.calibration),
     "TK-06_evasions": _one(lambda x: rules.evasions(x, [*packs.BANNED, "没有人应声", "第三日清晨"])),
     "TX-27_repairs": _one(rules.repairs),
+    "TX-27_repairs_with_ops": _one(lambda x: rules.repairs(x, OPS)),
     "TX-28_signature": _one(lambda x: x.where("text is not null").select("doc_id", F.md5(rules.signature(F.col("text"))).alias("signature"))),
     "SC-17_rules": lambda spark, d: rules.library(spark, "standard").select("id", "level", "mode", "kind", "pattern"),
     "WN-19_chunks": _one(lambda x: retrieval.chunks(x.where("doc_kind = 'chapter'")).select("doc_id", "chunk", F.length("body").alias("n_chars"))),
@@ -98,6 +102,18 @@ def _cnt(p: str) -> str:
     return f"((length(text) - length(replace(text, {_q(p)}, ''))) // {len(p)})"
 
 
+def _repaired(c: str) -> str:
+    """The repairs in RE2: what look-around would leave in place is put back, twice, as neighbours may be shared."""
+    for half, full in packs.HALFWIDTH.items():
+        for _ in range(2):
+            c = f"regexp_replace({c}, '([{packs.HAN}])[{half}]([{packs.HAN}])', '\\1{full}\\2', 'g')"
+    for mark in "！？。，、；":
+        c = f"regexp_replace({c}, '{mark}{mark}+', '{mark}', 'g')"
+    return c
+
+
+_FIXED = f"regexp_replace(replace({_repaired('text')}, '压低了嗓子', '放低了声音'), '(?:退了)(半步)', '后退\\1', 'g')"
+_SIG = f"regexp_replace({{}}, '[^{packs.HAN} A-Za-z0-9]', '', 'g')"
 _TABLE = (
     _COUNTS + ", st as (select * from (" + _TEXT["AG-05_sentences"] + ") where n_sent >= 20), rh as (select * from (" + _TEXT["WN-02_rhythm"] + """) where n_para >= 20),
 j as (select dd.source, c.*, st.median, rh.n_para, rh.n_one, rh.n_short20 from documents dd join c using (doc_id) left join st using (doc_id) left join rh using (doc_id) where dd.source is not null),
@@ -137,6 +153,8 @@ y as (select *, (ot * 1000)::double / ow as density, (rt * 1000)::double / rw as
 select rule, oh as hit_docs, od as n_docs, ot::bigint as total, density, ref_density, case when coalesce(od, 0) < 3 then 'too_few' when ot = 0 then 'silent' when coalesce(rw, 0) >= 3000 and ref_density >= density then 'habit_of_the_genre' when oh * 2 >= od then 'everywhere' when oh * 10 < od then 'rare' else 'useful' end as verdict from y""",
     "TK-06_evasions": "with c as (" + " union all ".join(f"select doc_id, {_q(p)} as phrase, {_cnt(p)} as own, list_max([" + ", ".join(f"struct_pack(n := {_cnt(p[i:i + 2])}, o := {-i}, pair := {_q(p[i:i + 2])})" for i in range(len(p) - 1)) + "]) as best from documents where text is not null" for p in _EV) + ") select doc_id, phrase, best.pair as pair, best.n::int as n from c where best.n >= 3 and best.n > own * 3",
     "TX-28_signature": f"select doc_id, md5(regexp_replace(text, '[^{packs.HAN} A-Za-z0-9]', '', 'g')) as signature from documents where text is not null",
+    "TX-27_repairs": f"select doc_id, new as text, {_SIG.format('old')} = {_SIG.format('new')} as same_prose from (select doc_id, {_repaired('text')} as new, text as old from documents where text is not null) where old <> new",
+    "TX-27_repairs_with_ops": f"select doc_id, new as text, {_SIG.format('old')} = {_SIG.format('new')} as same_prose from (select doc_id, {_FIXED} as new, text as old from documents where text is not null) where old <> new",
     "SC-17_rules": "select * from (values " + ", ".join("(" + ", ".join(_q(x) for x in r[:5]) + ")" for r in packs.LIBRARY if packs.LEVELS[r[1]] <= 2) + ") t(id, level, mode, kind, pattern)",
     "WN-19_chunks": f"with {_CHUNKS} select doc_id, chunk, length(body) as n_chars from ck",
     "BM25_plans": f"""with {_CHUNKS}, tk as (select doc_id, chunk, {_TOK.replace('X', 'body')} as toks from ck), st as (select count(*) as n, sum(len(toks)) as sum_dl from tk),

@@ -133,6 +133,7 @@ select book, speaker, count(*) as n_lines, sum(length(said)) as n_chars, sum({_n
 }
 
 
+ORACLE["TX-24_scenes"] = f"{_D}, s as (select doc_id, string_split(t, '没有人应声') as p from d), n as (select doc_id, p, unnest(range(1, len(p))) as no from s) select doc_id, no::int as no, '没有人应声' as hit, right(array_to_string(p[1:no], '没有人应声'), 12) || '没有人应声' || left(array_to_string(p[no + 1:], '没有人应声'), 16) as excerpt from n"
 ORACLE["WN-07_frame_pairs"] = ORACLE["WN-07_frame_runs"].replace("count(*) >= 3", "count(*) >= 1")
 
 
@@ -165,6 +166,7 @@ QUERIES = {
     "AG-14_duplicates": _docs(m.duplicate_sentences),
     "WN-16_gap": _docs(m.dialogue_gap),
     "TX-23_endings": _docs(m.endings),
+    "TX-24_scenes": _docs(lambda x: m.scenes(x, "没有人应声")),
     "TX-24_care": _docs(lambda x: m.scenes(x, packs.CARE)),
     "AG-10_voices": voices,
 }
