@@ -68,7 +68,7 @@ def related(analysis: DataFrame, foreshadows: DataFrame, books: DataFrame, docum
     from scrollwork.operators import brief
 
     now = books.groupBy("book").agg(F.max("current_chapter").alias("now")).where("now is not null")
-    a = ledger.current(analysis, "title")
+    a = ledger.current(analysis)
     plans = brief.plans_now(books, documents)
     reason = lambda kind, c: F.concat(F.lit(kind + ":"), c).alias("reason")
     threads = brief.plan_threads(foreshadows, books, documents).select("book", "chapter", reason("thread", "id"))
