@@ -9,7 +9,6 @@ their trees being the columns of one array.
 from __future__ import annotations
 
 import base64
-import json
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -19,7 +18,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 NONE = np.int64(1 << 62)
 #: Leaves handled at once; their trees stay in the cache.
