@@ -57,13 +57,13 @@ class Person:
         p = self.whole
         self.first = self.last = ""
         if self.cjk and len(p) == 1:
-            n = 2 if len(s) > 2 and s[:2] in DOUBLE_NAMES else 1
-            self.last, self.first = s[:n], s[n:]
+            n = 2 if len(p[0]) > 2 and p[0][:2] in DOUBLE_NAMES else 1
+            self.last, self.first = p[0][:n], p[0][n:]
         elif self.cjk and p:
             self.first, self.last = p[0], p[-1]
         elif len(p) > 1:
             words = re.split(r"[\s,]+", s)
-            words = [w for w in words if w]
+            words = [w for w in words if parts(w)]
             self.first = words[0]
             self.last = " ".join(words[1:])
         elif p:
@@ -84,14 +84,16 @@ class Person:
             return out
         f, n = self.first, self.last
         if self.cjk and len(p) == 1:
-            put(f"{f} {n}", 2)
-            put(f"{n} {f}", 2)
-            put(f + n, 2)
+            if f:
+                put(f"{f} {n}", 2)
+                put(f"{n} {f}", 2)
+                put(f + n, 2)
             put("~" + n, 3)
             if len(f) > 1:
                 put(f, 3)
                 put("~" + f, 3)
-            for y in {f, f[-1]}:
+            given = f or n  # a name of one character is called by it
+            for y in {given, given[-1]}:
                 for form in (f"小{y}", f"阿{y}", f"{y}儿", f"{y}哥儿"):
                     put(form, 4)
                 if len(y) == 1:
@@ -216,6 +218,8 @@ def _sound_gap(a: str, b: str) -> int:
         x, y = a.encode("gb2312"), b.encode("gb2312")
     except UnicodeEncodeError:
         return 10_000
+    if min(len(x), len(y)) < 2:  # a letter or digit has no sound to compare
+        return 10_000
     if max(x[0], y[0]) > 0xD7:
         return 5_000
     return abs((x[0] - y[0]) * 94 + x[1] - y[1])

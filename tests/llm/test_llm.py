@@ -118,6 +118,12 @@ def test_strangers_stay_unlinked():
     assert all(book.find(x) == (99, {}) for x in ("Anne", "老李", "Captain Risk", "Old Bill", "Tim", "Captain", "", "弦"[:0]))
 
 
+@pytest.mark.parametrize("name,alias,typed,found", [("林晚兰", "老K爷", "老王爷", False), ("弦", None, "小弦", True), ("/ Ana Petri", None, "Petri Ana", True), ("/林晚", None, "林 晚", True)])
+def test_names_with_letters_signs_or_one_character(name, alias, typed, found):
+    book = names.Book([("C-1", name, True)] + ([("C-1", alias, False)] if alias else []))
+    assert list(book.find(typed)[1]) == ["C-1"] * found
+
+
 def test_every_spelling_is_found_through_the_trie(monkeypatch):
     walked = []
     near = names.Trie.near
