@@ -135,8 +135,8 @@ class Person:
 
 
 class Trie:
-    """Keys with what belongs to them. A node is a dict of its children; at 0 it has what ends there as (what, near), at 1
-    whether a key below it may be met at a distance."""
+    """Keys with what belongs to them. A node is a dict of its children; at 0 it has what ends there as (what, near), at 1,
+    if a key below it may be met at a distance, a bit for each length that is left to the end of such a key."""
 
     def __init__(self) -> None:
         self.root: dict = {}
@@ -144,51 +144,98 @@ class Trie:
     def add(self, key: str, what: object, near: bool = True) -> None:
         """`near`: whether the key counts at a distance too."""
         node = self.root
-        for ch in key:
+        for left, ch in zip(range(len(key), 0, -1), key):
             if near:
-                node[1] = True
+                node[1] = node.get(1, 0) | 1 << left
             node = node.setdefault(ch, {})
         if near:
-            node[1] = True
+            node[1] = node.get(1, 0) | 1
         ends = node.setdefault(0, [])
         if (what, near) not in ends:
             ends.append((what, near))
 
     def near(self, word: str, bound: int) -> dict[object, int]:
-        """what -> least distance of its keys to `word`, up to `bound`: one walk of the automaton's states through the trie."""
-        n, found = len(word), {}
-        far = bound + 1
-        first = [i if i <= bound else far for i in range(n + 1)]
-        stack = [(self.root, "", first, None, 0)]
+        """what -> least distance of its keys to `word`, up to `bound`: one walk of the automaton through the trie."""
+        found: dict[object, int] = {}
+        automaton = Automaton(word, bound)
+        known = automaton.at
+        stack = [(self.root, automaton.start)]
         while stack:
-            node, ch, row, before, depth = stack.pop()
-            end = row[n]
+            node, state = stack.pop()
+            end = state.end
             if 0 in node and end <= bound:
                 for what, near in node[0]:
-                    if (near or not end) and end < found.get(what, far):
+                    if (near or not end) and end < found.get(what, bound + 1):
                         found[what] = end
-            exact = word[depth] if depth < n and not row[depth] else None
-            lo, hi = max(1, depth + 1 - bound), min(n, depth + 1 + bound)
+            exact, after = state.exact, state.after
             for nxt, below in node.items():
                 if nxt == 0 or nxt == 1 or (nxt != exact and 1 not in below):
                     continue
-                new = [far] * (n + 1)
-                if depth + 1 <= bound:
-                    new[0] = depth + 1
-                live = new[0] <= bound
-                for j in range(lo, hi + 1):
-                    w = word[j - 1]
-                    v = row[j - 1] if w == nxt else 1 + min(row[j - 1], row[j], new[j - 1])
-                    if before is not None and j > 1 and w == ch and word[j - 2] == nxt and before[j - 2] + 1 < v:
-                        v = before[j - 2] + 1
-                    if v <= bound:
-                        new[j] = v
-                        live = True
-                if live:
-                    stack.append((below, nxt, new, row, depth + 1))
+                c = nxt if nxt in known else None
+                new = after[c] if c in after else automaton.step(state, c)
+                if new is not None and (nxt == exact or below[1] & new.left):
+                    stack.append((below, new))
         return found
 
 
+class _State:
+    """end: the distance if the key ends here, above the bound if it is too far; exact: the next character of the word if all
+    were met so far; left: a bit for each length that a near key may have left; after: character (None: one that the word
+    lacks) -> next state or None; rows, swaps: see `Automaton`."""
+
+    __slots__ = ("after", "end", "exact", "left", "rows", "swaps")
+
+
+class Automaton:
+    """Levenshtein automaton of a word that counts a swap of neighbours as one edit; its states are made when first met.
+
+    Bit j of rows[d]: what was read is at most d edits from the word's first j characters. Bit j of swaps[d]: so
+    was what was read before the last character, which is the word's character j + 1.
+    """
+
+    def __init__(self, word: str, bound: int):
+        self.word, self.bound, self.full = word, bound, (2 << len(word)) - 1
+        self.at: dict[str, int] = {}
+        for j, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 1 << j
+        self.states: dict[tuple, _State] = {}
+        self.start = self._state(tuple((2 << d) - 1 & self.full for d in range(bound + 1)), (0,) * bound)
+
+    def _state(self, rows: tuple, swaps: tuple) -> _State:
+        s = self.states.get((rows, swaps))
+        if s is None:
+            s = self.states[rows, swaps] = _State()
+            n = len(self.word)
+            s.rows, s.swaps, s.after = rows, swaps, {}
+            s.end = next((d for d, r in enumerate(rows) if r >> n), self.bound + 1)
+            j = rows[0].bit_length() - 1
+            s.exact = self.word[j] if 0 <= j < n else None
+            s.left = before = 0
+            for d, r in enumerate(rows):
+                more, new = self.bound - d, r & ~before
+                while new:
+                    low = n + 1 - (new & -new).bit_length() - more
+                    span = (2 << 2 * more) - 1
+                    s.left |= span << low if low >= 0 else span >> -low
+                    new &= new - 1
+                before = r
+        return s
+
+    def step(self, s: _State, c: str | None) -> _State | None:
+        """The state after a character, None if no key can be near any more."""
+        m = self.at.get(c, 0)
+        old = s.rows
+        last = (old[0] & m) << 1
+        rows = [last]
+        for d in range(1, len(old)):
+            less = old[d - 1]
+            last = ((old[d] & m) << 1 | less | less << 1 | last << 1 | (s.swaps[d - 1] & m) << 2) & self.full
+            rows.append(last)
+        new = self._state(tuple(rows), tuple(r & m >> 1 for r in old[:-1])) if last else None
+        s.after[c] = new
+        return new
+
+
 def readings(spelling: str) -> list[tuple[str, int]]:
     """(form to look up, penalty) of a spelling, without and with what may be a form of address."""
     s = plain(spelling)
@@ -260,6 +307,7 @@ class Book:
         self.full: dict[str, set[str]] = defaultdict(set)
         self.accented: dict[str, set[str]] = defaultdict(set)
         self.names: list[tuple[str, list[str]]] = []
+        self.walked: dict[tuple[str, int, bool], list[tuple[int, int, int]]] = {}
         for who, name, main in names:
             p = Person(name)
             self.accented[who].add(self._accented(name))
@@ -322,9 +370,8 @@ class Book:
         order; particles may be missing on either side."""
         met: dict[int, dict[int, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
         for i, w in enumerate(words):
-            for (name, kind, part), dist in self.trie.near(w, min(bound, _bound(w, cjk))).items():
-                if kind == PART and (not dist or self._alike(w, self.names[name][1][part], cjk, False)):
-                    met[name][i][part] = dist
+            for name, part, dist in self._parts_near(w, min(bound, _bound(w, cjk)), cjk):
+                met[name][i][part] = dist
         out = []
         for name, ways in met.items():
             who, whole = self.names[name]
@@ -348,6 +395,13 @@ class Book:
                 out.append((who, best, skipped))
         return out
 
+    def _parts_near(self, word: str, bound: int, cjk: bool) -> list[tuple[int, int, int]]:
+        """(name, part, distance) of the parts of names that a word may be meant as; spellings share most of their words."""
+        asked = (word, bound, cjk)
+        if asked not in self.walked:
+            self.walked[asked] = [(name, part, dist) for (name, kind, part), dist in self.trie.near(word, bound).items() if kind == PART and (not dist or self._alike(word, self.names[name][1][part], cjk, False))]
+        return self.walked[asked]
+
     @staticmethod
     def _alike(word: str, key: str, cjk: bool, alias: bool) -> bool:
         """Whether a word at a distance from a key may be meant as it; short ones need more than a small distance."""
